@@ -1,8 +1,9 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import simhash
+from . import simhash, substring
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
+    "op5_substring_dedup": substring.op5,
 }
 ORACLE_SQL: dict[str, str] = {}
