@@ -1,9 +1,10 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import simhash, substring
+from . import simhash, substring, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
     "op5_substring_dedup": substring.op5,
+    "op7_toxicity": toxicity.op7,
 }
 ORACLE_SQL: dict[str, str] = {}
