@@ -1,10 +1,12 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import simhash, substring, toxicity
+from . import decontaminate, mixing, simhash, substring, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
+    "op4_decontaminate": decontaminate.op4,
     "op5_substring_dedup": substring.op5,
     "op7_toxicity": toxicity.op7,
+    "op8_mix_sources": mixing.op8,
 }
 ORACLE_SQL: dict[str, str] = {}
