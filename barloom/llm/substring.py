@@ -9,10 +9,11 @@ and each fragment is streamed through it before it is added: where the longest
 match reaches 20 words, the window ending there starts earlier.
 
 The reference is the corpus itself and grows with it, so whole automata are not
-broadcast: shards are co-partitioned with the fragments. Only a bit table of
-fixed size is broadcast (anchors seen twice or more); as it fills, more
-fragments travel, and the result stays the same. Shards of frequent anchors
-fall apart into shards of one window each, combined before the shuffle.
+broadcast: shards are co-partitioned with the fragments. Only bit tables of
+fixed size are broadcast (anchors seen twice or more; first occurrences whose
+shard holds more than one fragment); as they fill, more fragments travel, and
+the result stays the same. Equal fragments are combined before any shuffle of
+words, and shards of frequent anchors fall apart into shards of one window.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from .common import checkpoint, chunks, doc_key, find_words, mix, range_hash, re
 
 WINDOW = 20
 GRAM = 4
-#: Bits of the broadcast table: 2 MB, whatever the input.
-TABLE_BITS = 24
-#: An anchor with more occurrences is dealt out by single windows.
+#: Bits of a broadcast table: 4 MB, whatever the input.
+TABLE_BITS = 25
+#: An anchor with more distinct fragments is dealt out by single windows.
 FREQUENT = 1000
 
 
@@ -96,7 +97,7 @@ class Automaton:
 
 def fragments(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     """Fragments of the texts in one slice: (row, first window's word index in its
-    text, windows, anchor hash, first byte, last byte, word hashes' bounds)."""
+    text, windows, anchor hash, first byte, last byte, hash of all it holds)."""
     start, end, first = find_words(buf, off)
     n = len(start) - window + 1
     if n <= 0:
@@ -120,126 +121,157 @@ def fragments(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int
     a = whole[cut]
     count = np.diff(np.r_[cut, len(whole)])
     last = a + count + window - 1
-    content = mix(range_hash(word, a, last) ^ (anchor[cut] - a).astype(np.uint64))
+    content = mix(range_hash(word, a, last) ^ (anchor[cut] - a).astype(np.uint64) ^ grams[anchor[cut]] * np.uint64(0x9FB21C651E98DF25))
     return row[a], a - first[row[a]], count, grams[anchor[cut]], start[a], end[last - 1], content
 
 
-def shards(docs: DataFrame, window: int, table=None, content: bool = True) -> DataFrame:
-    """Without a table: (h), the anchor of each fragment. With one (a broadcast
-    bit table): the fragments whose anchor is in it, as (h, f, doc, pos, n, words);
-    the words only for a fragment's first occurrence in a slice of the task."""
+def slots(*columns: np.ndarray) -> np.ndarray:
+    """Slot of each row in a bit table."""
+    total = np.zeros(len(columns[0]), np.uint64)
+    for k, column in enumerate(columns):
+        total = mix(total ^ column.astype(np.int64).view(np.uint64) + np.uint64(k))
+    return (total >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
-    def anchors(batches):
+
+def bit_table(rows: DataFrame):
+    """Broadcast table of 2^TABLE_BITS bits with one bit set for each row (of
+    longs); the driver gets its words, 2^TABLE_BITS / 32 rows at most."""
+    width = len(rows.columns)
+
+    def run(batches):
+        table = np.zeros(1 << TABLE_BITS, bool)
         for batch in batches:
-            for _, _, buf, off in chunks(batch.column(1)):
-                if (found := fragments(buf, off, window)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[3].view(np.int64))], names=["h"])
+            table[slots(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)))] = True
+        words = np.packbits(table, bitorder="little").view(np.uint32)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at].view(np.int32))], names=["word", "bits"])
+
+    found = rows.mapInArrow(run, "word int, bits int").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 5), np.int32)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
+def in_table(table, slot: np.ndarray) -> np.ndarray:
+    return (table.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
-    def chosen(batches):
-        bits, told = table.value, set()
+
+def of_texts(docs: DataFrame, window: int, emit, schema: str) -> DataFrame:
+    """Rows that emit(bytes, doc ids, (h, f, pos, n, first byte, last byte)) makes of
+    the fragments of each slice of whole texts."""
+
+    def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, buf, off in chunks(batch.column(1)):
-                if (found := fragments(buf, off, window)) is None:
-                    continue
-                row, pos, n, h, first, last, f = found
-                slot = h & np.uint64((1 << TABLE_BITS) - 1)
-                keep = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                columns = [pa.array(x) for x in (h[keep].view(np.int64), f[keep].view(np.int64), ids[row[keep] + lo], pos[keep], n[keep].astype(np.int32))]
-                if content:
-                    raw, words = buf.tobytes(), []
-                    if len(told) > 1 << 19:
-                        told.clear()
-                    for x, i, j in zip(f[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-                        words.append(None if x in told else raw[i:j])
-                        told.add(x)
-                    columns.append(pa.array(words, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "f", "doc", "pos", "n", "words"][: len(columns)])
-
-    texts = docs.select(doc_key().alias("doc"), F.col("text").cast("string"))
-    if table is None:
-        return texts.mapInArrow(anchors, "h long")
-    return texts.mapInArrow(chosen, "h long, f long, doc long, pos long, n int" + ", words binary" * content)
-
-
-def bit_table(spark, repeated: DataFrame):
-    """Broadcast table of 2^TABLE_BITS bits with a bit for each anchor h; one row
-    per 64-bit word at most reaches the driver."""
-    slot = F.col("h").bitwiseAND((1 << TABLE_BITS) - 1)
-    words = repeated.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits"))
-    table = np.zeros(1 << (TABLE_BITS - 5), np.uint32)
-    found = words.toPandas()
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-    return spark.sparkContext.broadcast(table.view(np.uint8))
-
-
-def match_shards(distinct: DataFrame, window: int) -> DataFrame:
-    """(h, f, bits): the windows of each distinct fragment that an earlier one of
-    its shard holds. Rows: h, f, doc, pos, words."""
+                if (found := fragments(buf, off, window)) is not None:
+                    row, pos, n, h, first, last, f = found
+                    names, columns = emit(buf, ids[row + lo], (h.view(np.int64), f.view(np.int64), pos, n, first, last))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(doc_key().alias("doc"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(h) of every fragment, to 40 bits: enough to tell which come back."""
+    return of_texts(docs, window, lambda buf, ids, found: (["h"], [pa.array(found[0] & SHORT)]), "h long")
+
+
+SHORT = (1 << 40) - 1
+
+
+def occurrences(docs: DataFrame, window: int, repeated) -> DataFrame:
+    """(h, f, doc, at) of the fragments whose anchor comes back; at: position * 32 + windows."""
+
+    def emit(buf, ids, found):
+        h, f, pos, n, _, _ = found
+        keep = np.flatnonzero(in_table(repeated, slots(h & SHORT)))
+        return ["h", "f", "doc", "at"], [pa.array(x[keep]) for x in (h, f, ids, pos * 32 + n)]
+
+    return of_texts(docs, window, emit, "h long, f long, doc long, at long")
+
+
+def wordings(docs: DataFrame, window: int, firsts, frequent, wanted: bool) -> DataFrame:
+    """(h, f, doc, pos, words) of the first occurrences in the table, of frequent
+    anchors only or of the others only."""
+
+    def emit(buf, ids, found):
+        h, f, pos, n, first, last = found
+        keep = in_table(firsts, slots(f, ids, pos)) & (in_table(frequent, slots(h)) == wanted)
+        keep = np.flatnonzero(keep)
+        raw = buf.tobytes()
+        words = [raw[i:j] for i, j in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
+        return ["h", "f", "doc", "pos", "words"], [*(pa.array(x[keep]) for x in (h, f, ids, pos)), pa.array(words, pa.binary())]
+
+    return of_texts(docs, window, emit, "h long, f long, doc long, pos long, words binary")
+
+
+def match_shards(fragment: DataFrame, window: int) -> DataFrame:
+    """(f, bits): the windows of each distinct fragment that an earlier one of
+    its shard holds, if any."""
 
     def run(batches):
-        held, shard, at = None, None, None
+        held, shard, at, seen = None, None, None, set()
         for batch in batches:
-            h, f = batch.column(0), batch.column(1)
-            words, out = batch.column(4).to_pylist(), []
-            for key, text in zip(h.to_pylist(), words, strict=True):
+            rows, out = batch.column(1).to_pylist(), []
+            for key, f, text in zip(batch.column(0).to_pylist(), rows, batch.column(4).to_pylist(), strict=True):
                 if key != at:
-                    at, shard, held = key, None, text
-                    out.append(0)
-                    continue
-                if shard is None:
-                    shard = Automaton()
-                    shard.add(held.split())
-                mine = text.split()
-                out.append(shard.matched(mine, window))
-                shard.add(mine)
-            yield pa.RecordBatch.from_arrays([h, f, pa.array(out, pa.int64())], names=["h", "f", "bits"])
-
-    ordered = distinct.select("h", "f", "doc", "pos", "words").repartition("h").sortWithinPartitions("h", "doc", "pos")
-    return ordered.mapInArrow(run, "h long, f long, bits long")
-
-
-def match_windows(distinct: DataFrame, window: int) -> DataFrame:
+                    at, shard, held, seen = key, None, text, {f}
+                elif f not in seen:
+                    seen.add(f)
+                    if shard is None:
+                        shard = Automaton()
+                        shard.add(held.split())
+                    mine = text.split()
+                    if bits := shard.matched(mine, window):
+                        out.append((f, bits))
+                    shard.add(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["f", "bits"])
+
+    return fragment.repartition("h").sortWithinPartitions("h", "doc", "pos").mapInArrow(run, "f long, bits long")
+
+
+def match_windows(fragment: DataFrame, window: int) -> DataFrame:
     """The same for frequent anchors: a shard for each window, combined before the shuffle."""
 
     def windows(batches):
         for batch in batches:
-            h, f, doc, pos = (batch.column(k).to_pylist() for k in range(4))
             rows = []
-            for a, b, d, p, text in zip(h, f, doc, pos, batch.column(4).to_pylist(), strict=True):
+            for f, d, p, text in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 words = text.split()
                 for i in range(len(words) - window + 1):
-                    digest = hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()
-                    rows.append((a, b, d, p + i, i, digest))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "f", "doc", "pos", "i", "w"])
+                    rows.append((f, d, p + i, i, hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["f", "doc", "pos", "i", "w"])
 
-    each = distinct.select("h", "f", "doc", "pos", "words").mapInArrow(windows, "h long, f long, doc long, pos long, i int, w binary")
+    each = fragment.mapInArrow(windows, "f long, doc long, pos long, i int, w binary")
     first = each.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("first"))
     later = each.join(first, "w").where(F.struct("doc", "pos") != F.col("first"))
-    return later.groupBy("h", "f").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
+    return later.groupBy("f").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT) -> DataFrame:
-    """(doc, pos, n, bits): runs of n windows from word pos on whose windows with a
-    set bit start earlier in the corpus (smaller doc_id, or same document and
-    earlier word)."""
-    spark = docs.sparkSession
-    counts = shards(docs, window).groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-    repeated = checkpoint(counts)
-    table = bit_table(spark, repeated)
-    fragment = shards(docs, window, table)
-    distinct = fragment.groupBy("h", "f").agg(F.min(F.struct("doc", "pos")).alias("first"), F.first("words", ignorenulls=True).alias("words"))
-    distinct = distinct.select("h", "f", "first.doc", "first.pos", "words")
-    often = repeated.where(F.col("times") > frequent).select(F.col("h").alias("often"))
-    split = checkpoint(distinct.join(often, F.col("h") == F.col("often"), "left"))
-    few, many = split.where("often is null").drop("often"), split.where("often is not null").drop("often")
-    matched = match_shards(few, window).union(match_windows(many, window))
-    firsts = split.select("h", "f", F.col("doc").alias("doc0"), F.col("pos").alias("pos0"))
-    firsts = checkpoint(firsts.join(matched, ["h", "f"], "left").select("h", "f", "doc0", "pos0", F.coalesce("bits", F.lit(0)).alias("bits")))
-    every = shards(docs, window, table, content=False)
-    mine = (F.col("doc") == F.col("doc0")) & (F.col("pos") == F.col("pos0"))
-    all_bits = F.expr("shiftleft(1L, n) - 1")
-    return every.join(firsts, ["h", "f"]).select("doc", "pos", "n", F.when(mine, F.col("bits")).otherwise(all_bits).alias("bits")).where("bits != 0")
+    """(doc, pos, bits): a set bit i says that the window at word pos + i of doc
+    starts earlier in the corpus (smaller doc_id, or same document and earlier word)."""
+    again = anchors(docs, window).groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    repeated = bit_table(again)
+    every = occurrences(docs, window, repeated)
+    distinct = every.groupBy("h", "f").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times"))
+    distinct = checkpoint(distinct.select("h", "f", F.col("first.doc").alias("doc0"), F.col("first.at").alias("at0"), "times"))
+    shared = checkpoint(distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("h").alias("shared"), "kinds"))
+    often = shared.where(F.col("kinds") > frequent).select(F.col("shared").alias("h"))
+    in_shared = distinct.join(shared, distinct.h == shared.shared).select("f", F.col("doc0"), F.floor(F.col("at0") / 32).alias("pos0"))
+    firsts, frequent_table = bit_table(in_shared), bit_table(often)
+    matched = match_shards(wordings(docs, window, firsts, frequent_table, False), window)
+    if not often.isEmpty():
+        matched = matched.union(match_windows(wordings(docs, window, firsts, frequent_table, True), window))
+    known = distinct.where("times > 1").select("f", "doc0", "at0").join(matched.withColumnRenamed("f", "f1"), F.col("f") == F.col("f1"), "full")
+    known = known.select(F.coalesce("f", "f1").alias("f0"), "doc0", "at0", F.coalesce("bits", F.lit(0)).alias("bits"))
+    first = F.col("doc0").isNull() | ((F.col("doc") == F.col("doc0")) & (F.col("at") == F.col("at0")))
+    bits = F.when(first, F.col("bits")).otherwise(F.expr("shiftleft(1L, cast(at % 32 as int)) - 1"))
+    every = every.select("f", "doc", "at").join(known, F.col("f") == F.col("f0"))
+    return every.select("doc", F.floor(F.col("at") / 32).alias("pos"), bits.alias("bits")).where("bits != 0")
 
 
 def dedup_texts(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT) -> DataFrame:
