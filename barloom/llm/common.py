@@ -51,7 +51,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int, _kept: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """R^i and R^-i modulo 2^64 for i < n, kept for the worker's next call."""
     if not _kept or len(_kept[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         up, down = np.full(n, _R, np.uint64), np.full(n, _R_INV, np.uint64)
         up[0] = down[0] = 1
         _kept[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
@@ -67,7 +67,7 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[start]) * down[start] + length * np.uint64(0xD6E8FEB86659FD93))
 
 
-def chunks(column, limit: int = 1 << 20):
+def chunks(column, limit: int = 1 << 18):
     """Slices of an Arrow string column of about `limit` bytes (a longer text
     is a slice of its own): (first row, row after the last, bytes, bounds).
     Null texts are empty."""

@@ -1,12 +1,18 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import decontaminate, mixing, simhash, substring, toxicity
+from . import chat, decontaminate, embeddings, htmltext, langid, mixing, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
+    "op2_language_id": langid.op2,
+    "op3_quality": quality.op3,
     "op4_decontaminate": decontaminate.op4,
     "op5_substring_dedup": substring.op5,
+    "op6_embedding_near_dup": embeddings.op6,
     "op7_toxicity": toxicity.op7,
     "op8_mix_sources": mixing.op8,
+    "op9_chat_format": chat.op9,
+    "op10_html_text": htmltext.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be expressed in SQL; tests/llm compares them with brute force.
+ORACLE_SQL: dict[str, str] = {"op9_chat_format": chat.OP9_SQL}

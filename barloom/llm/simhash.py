@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, chunks, components, doc_key
+from .common import checkpoint, chunks, components, doc_key, read
 
 RADIUS = 3
 BLOCK = 2048
@@ -236,6 +236,4 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    from .common import read
-
     return simhash_groups(read(spark, sf_dir, "documents"))
