@@ -1 +1 @@
-"""Operators of the library."""
+"""DataFrame-to-DataFrame operators over panels, scores, reviews and text."""

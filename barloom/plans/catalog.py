@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from . import windows
 
-
-def lineitem_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.count("*").alias("n"))
-
-
-FLAGSHIP = lineitem_count
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+MODULES = (windows,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
+FLAGSHIP = windows.QUERIES["breadth"]
