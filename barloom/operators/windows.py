@@ -8,26 +8,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BY_CODE = Window.partitionBy("code").orderBy("date_idx")
-BY_DATE = Window.partitionBy("date_idx")
+def by_code():
+    return Window.partitionBy("code").orderBy("date_idx")
+
+
+def by_date():
+    return Window.partitionBy("date_idx")
 
 
 def trailing(n: int):
-    return BY_CODE.rowsBetween(-(n - 1), 0)
+    return by_code().rowsBetween(-(n - 1), 0)
 
 
 def padded(value: str) -> Column:
     """The last value seen up to this row."""
-    return F.last(value, ignorenulls=True).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(value, ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def pct_change(panel: DataFrame, value: str, n: int, name: str, pad: bool = True) -> DataFrame:
     """n-row return; with pad a missing value counts as the last one seen."""
     if not pad:
-        return panel.withColumn(name, F.col(value) / F.lag(value, n).over(BY_CODE) - 1)
+        return panel.withColumn(name, F.col(value) / F.lag(value, n).over(by_code()) - 1)
     filled = f"_{name}_filled"
     out = panel.withColumn(filled, padded(value))
-    return out.withColumn(name, F.col(filled) / F.lag(filled, n).over(BY_CODE) - 1).drop(filled)
+    return out.withColumn(name, F.col(filled) / F.lag(filled, n).over(by_code()) - 1).drop(filled)
 
 
 def full(value: Column, agg, n: int, least: int | None = None) -> Column:
@@ -57,15 +61,15 @@ def limit_flags(panel: DataFrame, ret: str = "ret1", tol: float = 0.002, big: fl
 
 def streak(panel: DataFrame, flag: str, name: str = "streak") -> DataFrame:
     """Consecutive rows with the flag up to this one: distance to the last row without it."""
-    last_off = F.max(F.when(~F.col(flag), F.col("date_idx"))).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.min("date_idx").over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
+    last_off = F.max(F.when(~F.col(flag), F.col("date_idx"))).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min("date_idx").over(by_code().rowsBetween(Window.unboundedPreceding, 0))
     return panel.withColumn(name, F.when(F.col(flag), F.col("date_idx") - F.coalesce(last_off, first - 1)).otherwise(0).cast("int"))
 
 
 def with_rsi(panel: DataFrame, value: str, n: int, name: str) -> DataFrame:
     """100 - 100 / (1 + mean gain / mean loss) over n row differences, all present."""
     diff = f"_{name}_diff"
-    out = panel.withColumn(diff, F.col(value) - F.lag(value).over(BY_CODE))
+    out = panel.withColumn(diff, F.col(value) - F.lag(value).over(by_code()))
     gain, loss = F.greatest(F.col(diff), F.lit(0.0)), F.greatest(-F.col(diff), F.lit(0.0))
     present = F.count(F.col(diff)).over(trailing(n)) >= n
     rs = F.avg(F.when(F.col(diff).isNotNull(), gain)).over(trailing(n)) / (F.avg(F.when(F.col(diff).isNotNull(), loss)).over(trailing(n)) + 1e-12)
@@ -86,13 +90,13 @@ def xs_norm(panel: DataFrame, value: str, method: str = "rank", name: str = "nor
         return panel.withColumn(name, average_rank(value, ["date_idx"]) - 0.5)
     if method != "zscore":
         raise ValueError(f"unknown method {method}")
-    sd = F.stddev_samp(value).over(BY_DATE)
-    return panel.withColumn(name, (F.col(value) - F.avg(value).over(BY_DATE)) / F.when(sd != 0, sd))
+    sd = F.stddev_samp(value).over(by_date())
+    return panel.withColumn(name, (F.col(value) - F.avg(value).over(by_date())) / F.when(sd != 0, sd))
 
 
 def forward_return(panel: DataFrame, value: str, n: int, name: str, tradable: str | None = None) -> DataFrame:
     """Return from this row to n rows on, without padding; null at the tail and where not tradable."""
-    ratio = F.lead(value, n).over(BY_CODE) / F.col(value) - 1
+    ratio = F.lead(value, n).over(by_code()) / F.col(value) - 1
     return panel.withColumn(name, F.when(F.col(tradable), ratio) if tradable else ratio)
 
 
@@ -100,7 +104,7 @@ def features(panel: DataFrame) -> DataFrame:
     """The panel with returns, averages, volatility, turnover ratio, RSI, limit flags and streak."""
     out = panel.withColumn("filled", padded("close"))
     for n in (1, 3, 5, 10, 20):
-        out = out.withColumn(f"ret{n}", F.col("filled") / F.lag("filled", n).over(BY_CODE) - 1)
+        out = out.withColumn(f"ret{n}", F.col("filled") / F.lag("filled", n).over(by_code()) - 1)
     for n in (5, 10, 20, 60):
         out = out.withColumn(f"ma{n}", rolling_mean("close", n))
     out = out.withColumn("vol20", rolling_std("ret1", 20))

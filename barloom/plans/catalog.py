@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import windows
+from . import evaluate, patterns, windows
 
-MODULES = (windows,)
+MODULES = (windows, patterns, evaluate)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
-FLAGSHIP = windows.QUERIES["breadth"]
+FLAGSHIP = patterns.FLAGSHIP
