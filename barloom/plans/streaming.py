@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.columns import scratch
 from ..streaming import jobs
 
 QUERIES: dict = {}
@@ -31,3 +32,32 @@ QUERIES["st_bars"] = st_bars
 ORACLE_SQL["st_bars"] = "select ts::date as start, user_id % 20 as code, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(*) as n, sum(value::decimal(18,2))::double as volume from events group by all"
 QUERIES["st_news_dedupe"] = st_news_dedupe
 ORACLE_SQL["st_news_dedupe"] = "select distinct event_type, user_id % 20 as code from events"
+
+
+def st_flow_upsert(spark, sf_dir) -> DataFrame:
+    path = scratch(spark, "upsert")
+    jobs.upsert_latest(events(spark, sf_dir).select("code", "event_type", "event_id", "value"), ["code", "event_type"], "event_id", path)
+    return spark.read.parquet(f"{path}/v0")
+
+
+def st_resume(spark, sf_dir) -> DataFrame:
+    """The stream is drained twice with one checkpoint: the second run finds nothing new."""
+    path = scratch(spark, "resume")
+    out = f"{path}/out"
+    for _ in range(2):
+        rows = events(spark, sf_dir).select("event_id", "code")
+        rows.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+def st_streak(spark, sf_dir) -> DataFrame:
+    """Running count of consecutive large values per code: keyed state in the stream."""
+    rows = events(spark, sf_dir).select("code", "event_id", "ts", (F.col("value") > 5).alias("flag"))
+    return jobs.streak_batches(rows, scratch(spark, "streak"))
+
+
+QUERIES |= {"st_flow_upsert": st_flow_upsert, "st_resume": st_resume, "st_streak": st_streak}
+ORACLE_SQL["st_flow_upsert"] = "select user_id % 20 as code, event_type, max(event_id) as event_id, max_by(value, event_id) as value from events group by all"
+ORACLE_SQL["st_resume"] = "select user_id % 20 as code, count(*) as n, count(distinct event_id) as ids from events group by 1"
+ORACLE_SQL["st_streak"] = """select code, event_id, case when flag then k - coalesce(max(case when not flag then k end) over (partition by code order by k rows unbounded preceding), 0) else 0 end::int as streak
+from (select user_id % 20 as code, event_id, value > 5 as flag, row_number() over (partition by user_id % 20 order by ts, event_id) as k from events)"""

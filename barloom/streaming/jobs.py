@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -60,28 +56,26 @@ def upsert_latest(stream: DataFrame, keys: list[str], order: str, path: str) ->
     stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{path}/_checkpoint").start().awaitTermination()
 
 
-class Streak(StatefulProcessor):
-    """Running number of consecutive flagged rows per code, in order of arrival."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "n int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self.run.get()[0] if self.run.exists() else 0
-        out = []
-        for part in rows:
-            out.append(part)
-        whole = pd.concat(out).sort_values(["ts", "event_id"])
-        counts = []
-        for flag in whole["flag"]:
-            n = n + 1 if flag else 0
-            counts.append(n)
-        self.run.update((n,))
-        yield pd.DataFrame({"code": whole["code"].to_numpy(), "event_id": whole["event_id"].to_numpy(), "streak": counts})
-
-    def close(self) -> None:
-        pass
-
-
-def streaks(events: DataFrame) -> DataFrame:
-    return events.groupBy("code").transformWithStateInPandas(Streak(), "code long, event_id long, streak int", "Append", "None")
+def streak_batches(events: DataFrame, path: str) -> DataFrame:
+    """(code, event_id, streak) of a stream (code, event_id, ts, flag): the state is a
+    table of the last run per code, replaced with every batch; a batch's own runs
+    are gaps and islands in one window. Batches arrive in order of time."""
+    spark = events.sparkSession
+    state: list[str] = []
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        w = Window.partitionBy("code").orderBy("ts", "event_id")
+        rows = batch.withColumn("k", F.row_number().over(w))
+        off = F.max(F.when(~F.col("flag"), F.col("k"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("off", off)
+        before = spark.read.parquet(state[-1]) if state else spark.createDataFrame([], "code long, run int")
+        rows = rows.join(before, "code", "left")
+        run = F.when(~F.col("flag"), 0).when(F.col("off").isNotNull(), F.col("k") - F.col("off")).otherwise(F.col("k") + F.coalesce("run", F.lit(0)))
+        rows.select("code", "event_id", "ts", run.cast("int").alias("streak")).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+        done = spark.read.parquet(f"{path}/out/epoch={epoch}").groupBy("code").agg(F.max_by("streak", F.struct("ts", "event_id")).alias("run"))
+        kept = done.unionByName(before.join(done, "code", "left_anti"))
+        kept.write.mode("overwrite").parquet(f"{path}/state/v{epoch}")
+        state.append(f"{path}/state/v{epoch}")
+
+    events.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("code", "event_id", "streak")
