@@ -6,6 +6,8 @@ many series run in parallel and one series is never spread.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -51,12 +53,36 @@ def rolling_percentile(rows: DataFrame, value: str, n: int = 1260, least: int =
     return rows.groupBy("series_id").applyInPandas(run, schema).withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
+def expanding_quantiles(rows: DataFrame, value: str, shares: dict[str, float], least: int = 60) -> DataFrame:
+    """A column per share: linear quantile of the non-null values up to each row, null
+    until `least` are known. A sorted list kept by binary search, one pass per
+    series; an ordered percentile window would take the square of its length."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date_idx", kind="stable")
+        held: list[float] = []
+        out: dict[str, list[float]] = {name: [] for name in shares}
+        for v in pdf[value].to_numpy(float):
+            if not np.isnan(v):
+                bisect.insort(held, v)
+            for name, q in shares.items():
+                if len(held) < least:
+                    out[name].append(np.nan)
+                    continue
+                at = q * (len(held) - 1)
+                lo = int(at)
+                hi = min(lo + 1, len(held) - 1)
+                out[name].append(held[lo] + (at - lo) * (held[hi] - held[lo]))
+        return pdf.assign(**out)
+
+    schema = rows.withColumns({n: F.lit(None).cast("double") for n in shares}).schema
+    return rows.groupBy("series_id").applyInPandas(run, schema).withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in shares})
+
+
 def tri_state(rows: DataFrame, score: str, least: int = 60, lo: float = 0.33, hi: float = 0.67) -> DataFrame:
     """q_lo, q_hi and state from the score's own past (expanding linear quantiles);
     null until `least` scores are known, never a state by default."""
-    w = in_series().rowsBetween(Window.unboundedPreceding, 0)
-    ready = F.count(score).over(w) >= least
-    out = rows.withColumn("q_lo", F.when(ready, F.percentile(score, lo).over(w))).withColumn("q_hi", F.when(ready, F.percentile(score, hi).over(w)))
+    out = expanding_quantiles(rows, score, {"q_lo": lo, "q_hi": hi}, least)
     s = F.col(score)
     return out.withColumn("state", F.when(s >= F.col("q_hi"), "value").when(s >= F.col("q_lo"), "mood").when(s < F.col("q_lo"), "defence"))
 
