@@ -52,14 +52,21 @@ def calendar(bars: DataFrame) -> DataFrame:
 def densify(bars: DataFrame) -> DataFrame:
     """One row for each code and calendar date from the code's first bar on; bars
     that are missing (suspended, or no longer listed) are null. Row shifts on the
-    result are calendar shifts."""
+    result are calendar shifts.
+
+    Each bar is repeated up to the code's next one, with its values at its own date
+    only: one exchange by code, which the feature windows then share, and no join
+    with a grid. The calendar (one row per trading date) is broadcast.
+    """
     days = calendar(bars)
-    numbered = bars.join(days, "date")
-    first = numbered.groupBy("code").agg(F.min("date_idx").alias("first"))
     last = days.select(F.max("date_idx")).scalar()
-    grid = first.select("code", F.explode(F.sequence("first", last)).alias("date_idx"))
-    whole = grid.join(days, "date_idx")
-    return whole.join(numbered.drop("date"), ["code", "date_idx"], "left")
+    by_code = Window.partitionBy("code").orderBy("date_idx")
+    values = [c for c in bars.columns if c not in ("date", "code")]
+    numbered = bars.join(F.broadcast(days), "date").drop("date")
+    spread = numbered.withColumn("_stop", F.coalesce(F.lead("date_idx").over(by_code) - 1, last)).withColumn("_at", F.explode(F.sequence("date_idx", "_stop")))
+    own = F.col("_at") == F.col("date_idx")
+    rows = spread.select("code", F.col("_at").alias("date_idx"), *[F.when(own, F.col(c)).alias(c) for c in values])
+    return rows.join(F.broadcast(days), "date_idx").select("code", "date_idx", "date", *values)
 
 
 def wide_to_long(wide: DataFrame, value: str = "close") -> DataFrame:
