@@ -191,14 +191,19 @@ def occurrences(docs: DataFrame, window: int, repeated) -> DataFrame:
     return of_texts(docs, window, emit, "h long, f long, doc long, at long")
 
 
-def wordings(docs: DataFrame, window: int, firsts, frequent, wanted: bool) -> DataFrame:
-    """(h, f, doc, pos, words) of the first occurrences in the table, of frequent
-    anchors only or of the others only."""
+def chosen(found, ids, firsts, frequent, wanted: bool) -> np.ndarray:
+    """The fragments that are first occurrences in the table, of frequent anchors only
+    or of the others only."""
+    h, f, pos = found[:3]
+    return np.flatnonzero(in_table(firsts, slots(f, ids, pos)) & (in_table(frequent, slots(h)) == wanted))
+
+
+def wordings(docs: DataFrame, window: int, firsts, frequent) -> DataFrame:
+    """(h, f, doc, pos, words) of the first occurrences in the table whose anchor is not frequent."""
 
     def emit(buf, ids, found):
         h, f, pos, n, first, last = found
-        keep = in_table(firsts, slots(f, ids, pos)) & (in_table(frequent, slots(h)) == wanted)
-        keep = np.flatnonzero(keep)
+        keep = chosen(found, ids, firsts, frequent, False)
         raw = buf.tobytes()
         words = [raw[i:j] for i, j in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
         return ["h", "f", "doc", "pos", "words"], [*(pa.array(x[keep]) for x in (h, f, ids, pos)), pa.array(words, pa.binary())]
@@ -231,21 +236,22 @@ def match_shards(fragment: DataFrame, window: int) -> DataFrame:
     return fragment.repartition("h").sortWithinPartitions("h", "doc", "pos").mapInArrow(run, "f long, bits long")
 
 
-def match_windows(fragment: DataFrame, window: int) -> DataFrame:
-    """The same for frequent anchors: a shard for each window, combined before the shuffle."""
+def match_windows(docs: DataFrame, window: int, firsts, frequent) -> DataFrame:
+    """The same for frequent anchors: a shard for each window, combined before the
+    shuffle. The windows come straight from the scan."""
 
-    def windows(batches):
-        for batch in batches:
-            rows = []
-            for f, d, p, text in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                words = text.split()
-                for i in range(len(words) - window + 1):
-                    rows.append((f, d, p + i, i, hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["f", "doc", "pos", "i", "w"])
-
-    each = fragment.mapInArrow(windows, "f long, doc long, pos long, i int, w binary")
+    def emit(buf, ids, found):
+        h, f, pos, n, first, last = found
+        keep = chosen(found, ids, firsts, frequent, True)
+        raw, rows = buf.tobytes(), []
+        for x, d, p, i, j in zip(*(c[keep].tolist() for c in (f, ids, pos, first, last)), strict=True):
+            words = raw[i:j].split()
+            rows += [(x, d, p + k, k, hashlib.blake2b(b" ".join(words[k : k + window]), digest_size=16).digest()) for k in range(len(words) - window + 1)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return ["f", "doc", "pos", "i", "w"], [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+
+    each = of_texts(docs, window, emit, "f long, doc long, pos long, i int, w binary")
     first = each.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("first"))
     later = each.join(first, "w").where(F.struct("doc", "pos") != F.col("first"))
     return later.groupBy("f").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
@@ -263,9 +269,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUE
     often = shared.where(F.col("kinds") > frequent).select(F.col("shared").alias("h"))
     in_shared = distinct.join(shared, distinct.h == shared.shared).select("f", F.col("doc0"), F.floor(F.col("at0") / 32).alias("pos0"))
     firsts, frequent_table = bit_table(in_shared), bit_table(often)
-    matched = match_shards(wordings(docs, window, firsts, frequent_table, False), window)
+    matched = match_shards(wordings(docs, window, firsts, frequent_table), window)
     if not often.isEmpty():
-        matched = matched.union(match_windows(wordings(docs, window, firsts, frequent_table, True), window))
+        matched = matched.union(match_windows(docs, window, firsts, frequent_table))
     known = distinct.where("times > 1").select("f", "doc0", "at0").join(matched.withColumnRenamed("f", "f1"), F.col("f") == F.col("f1"), "full")
     known = known.select(F.coalesce("f", "f1").alias("f0"), "doc0", "at0", F.coalesce("bits", F.lit(0)).alias("bits"))
     first = F.col("doc0").isNull() | ((F.col("doc") == F.col("doc0")) & (F.col("at") == F.col("at0")))
