@@ -200,3 +200,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null),
+good as (select vec_id, e from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x != 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id != b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select vec_id as id, vec_id as other from embeddings union select r.id, l.b from reach r join links l on l.a = r.other)
+select e.vec_id, (select count(*) from links where a = e.vec_id)::bigint as n_links, c.component as component_id, e.vec_id = c.component as kept
+from embeddings e join (select id, min(other)::bigint as component from reach group by id) c on c.id = e.vec_id"""

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_html_text": htmltext.op10,
 }
 #: The others can't be expressed in SQL; tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {"op9_chat_format": chat.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": substring.OP5_SQL, "op6_embedding_near_dup": embeddings.OP6_SQL, "op9_chat_format": chat.OP9_SQL}

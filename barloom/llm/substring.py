@@ -322,3 +322,14 @@ def dedup_texts(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT)
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_texts(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as k from (select doc_id, ws, unnest(generate_series(1, len(ws) - 19)) as i from w)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as n from win) where n > 1),
+gone as (select distinct doc_id, unnest(generate_series(i, i + 19)) as p from later),
+each as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as said from each anti join gone using (doc_id, p) group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(said, '')) as kept_sha256
+from w left join kept using (doc_id)"""
