@@ -238,7 +238,8 @@ def match_shards(fragment: DataFrame, window: int) -> DataFrame:
 
 def match_windows(docs: DataFrame, window: int, firsts, frequent) -> DataFrame:
     """The same for frequent anchors: a shard for each window, combined before the
-    shuffle. The windows come straight from the scan."""
+    shuffle. The windows come straight from the scan. Later copies of a fragment
+    that the table lets through fall to its first occurrence."""
 
     def emit(buf, ids, found):
         h, f, pos, n, first, last = found
@@ -252,8 +253,9 @@ def match_windows(docs: DataFrame, window: int, firsts, frequent) -> DataFrame:
         return ["f", "doc", "pos", "i", "w"], [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
 
     each = of_texts(docs, window, emit, "f long, doc long, pos long, i int, w binary")
-    first = each.groupBy("w").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    later = each.join(first, "w").where(F.struct("doc", "pos") != F.col("first"))
+    each = each.groupBy("f", "i", "w").agg(F.min(F.struct("doc", "pos")).alias("at"))
+    first = each.groupBy("w").agg(F.min("at").alias("first"))
+    later = each.join(first, "w").where(F.col("at") != F.col("first"))
     return later.groupBy("f").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
 
 

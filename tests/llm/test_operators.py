@@ -127,6 +127,25 @@ def test_substring_dedup_matches_brute_force(spark, frequent):
     assert sum(r.n_removed for r in got) > 1000
 
 
+@pytest.mark.parametrize("frequent", [1000, 1])
+def test_substring_dedup_with_full_tables(spark, monkeypatch, frequent):
+    """Every slot taken: later copies pass for first occurrences, and nothing more goes."""
+    real, made = substring.bit_table, []
+
+    def full(rows):
+        made.append(real(rows))
+        if len(made) == 3 and frequent == 1000:  # no anchor is frequent
+            return made[-1]
+        return spark.sparkContext.broadcast(np.full(1 << (substring.TABLE_BITS - 3), 255, np.uint8))
+
+    monkeypatch.setattr(substring, "bit_table", full)
+    rows = corpus()
+    want = brute_windows(rows)
+    for r in substring.dedup_texts(frame(spark, rows), frequent=frequent).collect():
+        key = common.NO_ID if r.doc_id is None else r.doc_id
+        assert (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) == want[key]
+
+
 def test_automaton_matches_substrings():
     rng = random.Random(5)
     texts = [[rng.choice("ab") for _ in range(40)] for _ in range(6)]
