@@ -34,6 +34,11 @@ def doc_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def text_key(name: str = "text") -> Column:
+    """Hash of a text: with doc_key, the identity of a document. Null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the folds of the labelled operators."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

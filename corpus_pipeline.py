@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import decontaminate, mixing, simhash, substring, toxicity
+from barloom.llm import decontaminate, mixing, shingles, substring, toxicity
 from barloom.llm.common import read
 
 
@@ -18,8 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays, that of the smallest
+    doc_id. Near: five-word shingles with a Jaccard similarity of 0.8 and more."""
+    return shingles.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_copies),
+    ("near_dedup", drop_near_copies),
     ("substring_dedup", cut_repeats),
     ("decontamination", drop_leaks),
     ("mixing", mix),

@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import Row
 
-from barloom.llm import chat, common, decontaminate, embeddings, htmltext, langid, mixing, quality, simhash, substring, toxicity
+import corpus_pipeline
+from barloom.llm import chat, common, decontaminate, embeddings, htmltext, langid, mixing, quality, shingles, simhash, substring, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, component_id string, spans string, h long"
@@ -99,6 +100,34 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3]
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_pipeline_drops_edited_near_copies(spark, block):
+    rng = random.Random(12)
+    rows = [(i, words(rng, 250, 5000), "en", "s") for i in range(20)]
+    for i in range(20):  # similarities of some 0.6 to 0.95
+        near = rows[i][1].split()
+        for at in rng.sample(range(10, 240, 6), 1 + i // 3):
+            near[at] = "changed"
+        rows.append((100 + i, " ".join(near), "en", "s"))
+    rows += [(200, rows[0][1].upper(), "en", "s"), (None, rows[1][1], "en", "s"), (None, "alone " + words(rng, 30), "en", "s"), (201, None, None, None), (202, "a b", "en", "s"), (203, " A  b", "en", "s")]
+    sets, own = [five_words(r[1]) for r in rows], range(len(rows))
+    pairs = [(a, b) for a in own for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(0.8 <= len(sets[i] & sets[20 + i]) / len(sets[i] | sets[20 + i]) <= 0.95 for i in range(20)) > 8
+    docs = frame(spark, rows)
+    key = lambda k: (common.NO_ID if rows[k][0] is None else rows[k][0], rows[k][1] or "")
+    groups = {}
+    for k, root in reference_components(own, pairs).items():
+        groups.setdefault(root, []).append(key(k))
+    got = corpus_pipeline.drop_near_copies(spark, docs, "") if block == 1024 else shingles.keep_one(docs, block=block)
+    assert got.columns == docs.columns
+    assert sorted((common.NO_ID if r.doc_id is None else r.doc_id, r.text or "") for r in got.collect()) == sorted(min(g) for g in groups.values())
+
+
 def brute_windows(rows):
     docs = {}
     for i, t, *_ in rows:
