@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, doc_key, find_words, mix, range_hash, read
+from .common import chunks, doc_key, find_words, mix, range_hash, read, text_key
 
 #: Masks of weight 6, 1 for a compared position.
 MASKS = ("111111", "110100111", "111001011", "101110011")
@@ -107,20 +107,14 @@ class Shard:
         return int(runs[best]), span, diagonal + a + best - lo
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(doc_id, item_id, matched, compared, start): each pair of a document and a
-    benchmark item that shares a stretch of `compared` tokens (20, or the whole
-    item) with at least `share` of them equal; start is the stretch's first token.
-
-    Items under six tokens hold no seed and take no part, nor do items without
-    item_id; null and empty texts match nothing; empty tables give no rows. A
-    null doc_id comes back as null; repeated rows give one row for each pair.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc, x, item_id, matched, compared, start) of every diagonal that counts;
+    doc and the text hash x are the document."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")).cast("long"))).first()[0] or 0
     count = max(1, math.ceil(total / shard_tokens))
-    texts = docs.select(doc_key().alias("doc"), F.lower(F.col("text").cast("string")).alias("text"))
+    texts = docs.select(doc_key().alias("doc"), text_key().alias("x"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None
     for k in range(count):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id").toArrow()
@@ -129,21 +123,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shard_tok
         def run(batches, shared=shared):
             shard = shared.value
             for batch in batches:
-                ids, rows = batch.column(0), []
-                for at, _, buf, off in chunks(batch.column(1)):
+                ids, x, rows = batch.column(0), batch.column(1), []
+                for at, _, buf, off in chunks(batch.column(2)):
                     word, first = tokens(buf, off)
                     for item, diagonal in _inside(shard, word, first):
                         for d in diagonal:
                             text, begin = d
                             matched, compared, start = shard.overlap(word, first[text], first[text + 1], item, begin)
                             if compared and matched >= share * compared:
-                                rows.append((ids[at + text].as_py(), int(shard.ids[item]), matched, compared, start))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc", "item_id", "matched", "compared", "start"])
+                                rows.append((ids[at + text].as_py(), x[at + text].as_py(), int(shard.ids[item]), matched, compared, start))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc", "x", "item_id", "matched", "compared", "start"])
 
-        found = texts.mapInArrow(run, "doc long, item_id long, matched int, compared int, start long")
+        found = texts.mapInArrow(run, "doc long, x long, item_id long, matched int, compared int, start long")
         out = found if out is None else out.union(found)
-    best = out.groupBy("doc", "item_id").agg(F.max(F.struct("matched", "compared", (-F.col("start")).alias("back"))).alias("best"))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc_id, item_id, matched, compared, start): each pair of a document and a
+    benchmark item that shares a stretch of `compared` tokens (20, or the whole
+    item) with at least `share` of them equal; start is the stretch's first token.
+
+    Items under six tokens hold no seed and take no part, nor do items without
+    item_id; null and empty texts match nothing; empty tables give no rows. A
+    null doc_id comes back as null; repeated rows give one row for each pair, and
+    so do several texts under one doc_id, or without any.
+    """
+    best = matches(docs, benchmark, share, shard_tokens).groupBy("doc", "item_id").agg(F.max(F.struct("matched", "compared", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.when(F.col("doc") != (1 << 63) - 1, F.col("doc")).alias("doc_id"), "item_id", "best.matched", "best.compared", (-F.col("best.back")).alias("start"))
 
 
@@ -159,8 +166,8 @@ def _inside(shard: Shard, word: np.ndarray, first: np.ndarray):
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that share no passage with the benchmark, columns as they are."""
-    found = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("leaked")).distinct()
-    return docs.join(found, doc_key() == F.col("leaked"), "left_anti")
+    found = matches(docs, benchmark).select(F.col("doc").alias("leaked"), F.col("x").alias("leaked_x")).distinct()
+    return docs.join(found, (doc_key() == F.col("leaked")) & (text_key() == F.col("leaked_x")), "left_anti")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

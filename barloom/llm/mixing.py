@@ -15,7 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WORD, checkpoint, doc_key, read
+from .common import WORD, checkpoint, doc_key, read, text_key
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -24,8 +24,8 @@ BLOCK = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(key, source, size): words of each whole text, null text 0."""
-    return docs.select(doc_key().alias("key"), "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(key, x, source, size): text hash, and words of each whole text, null text 0."""
+    return docs.select(doc_key().alias("key"), text_key().alias("x"), "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -86,27 +86,27 @@ def land(chance: list[float], size: list[float]) -> None:
 
 
 def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source, key, size, chance) with chances 0 or 1, from chances between: the
+    """(source, key, x, size, chance) with chances 0 or 1, from chances between: the
     sums of chance and of chance * size stay as near as one document allows in
     every source. A source's documents are dealt to blocks by a hash."""
-    kind = "source string, key long, size long, chance double, part long, last boolean"
+    kind = "source string, key long, x long, size long, chance double, part long, last boolean"
 
     def fly(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "order", "key"], ascending=[False, True, True], kind="stable")  # small ones are left to land
+        rows = rows.sort_values(["size", "order", "key", "x"], ascending=[False, True, True, True], kind="stable")  # small ones are left to land
         chance, size = rows["chance"].tolist(), rows["size"].astype(float).tolist()
         flight(chance, size)
         if rows["last"].iloc[0]:
             land(chance, size)
-        return rows.assign(chance=chance)[["source", "key", "size", "chance", "part", "last"]]
+        return rows.assign(chance=chance)[["source", "key", "x", "size", "chance", "part", "last"]]
 
     done, open_, round_ = [], units, 0
     while True:
         many = open_.groupBy(F.col("source").alias("own")).agg(F.ceil(F.count("*") / block).alias("parts"))
         dealt = open_.join(many, F.col("source").eqNullSafe(F.col("own"))).drop("own")
-        dealt = dealt.select("source", "key", "size", "chance", F.pmod(F.xxhash64("key", F.lit(round_)), F.col("parts")).alias("part"), (F.col("parts") == 1).alias("last"), F.xxhash64("key").alias("order"))
+        dealt = dealt.select("source", "key", "x", "size", "chance", F.pmod(F.xxhash64("key", "x", F.lit(round_)), F.col("parts")).alias("part"), (F.col("parts") == 1).alias("last"), F.xxhash64("key", "x").alias("order"))
         flown = checkpoint(dealt.groupBy("source", "part").applyInPandas(fly, kind))
-        done.append(flown.where("chance in (0, 1)").select("source", "key", "size", "chance"))
-        open_ = flown.where("chance not in (0, 1)").select("source", "key", "size", "chance")
+        done.append(flown.where("chance in (0, 1)").select("source", "key", "x", "size", "chance"))
+        open_ = flown.where("chance not in (0, 1)").select("source", "key", "x", "size", "chance")
         if open_.isEmpty():
             break
         round_ += 1
@@ -122,26 +122,33 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, block: int
     taken is size times the copies that the mix takes, never above `limit`
     times size; each source's taken words come within one document of its
     target. Null text has size 0; a null source is a source, the last in order.
-    Rows that repeat a doc_id are one unit of the sample by (doc_id, source,
-    size), all taken alike; a null doc_id stays null. An empty table gives no
-    rows. Reruns agree: the order of the flight is a hash of the ids.
+    Rows that repeat a doc_id, source and text are one unit of the sample, all
+    taken alike; a null doc_id stays null. An empty table gives no
+    rows. Reruns agree: the order of the flight is a hash of ids and texts.
     """
+    return mixed(docs, weights, limit, block).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """mix_sources with the columns key, x and source, which name the unit."""
     sized = checkpoint(sizes(docs))
     aims = targets(sized, weights, limit).select(F.col("source").alias("own"), "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.join(aims, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     joined = joined.withColumn("base", F.floor(ratio + 1e-12)).withColumn("chance", F.greatest(ratio - F.col("base"), F.lit(0.0)))
-    units = joined.where("size > 0").select("source", "key", "size", "chance").distinct()
-    drawn = balanced(units, block).where("chance = 1").select(F.col("source").alias("s2"), F.col("key").alias("k2"), F.col("size").alias("n2"))
-    same = (F.col("key") == F.col("k2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("n2"))
+    units = joined.where("size > 0").select("source", "key", "x", "size", "chance").distinct()
+    drawn = balanced(units, block).where("chance = 1").select(F.col("source").alias("s2"), F.col("key").alias("k2"), F.col("x").alias("x2"))
+    same = (F.col("key") == F.col("k2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("x") == F.col("x2"))
     extra = F.when(F.col("k2").isNotNull(), 1).otherwise(0)
-    return joined.join(drawn, same, "left").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + extra)).cast("long").alias("taken"))
+    return joined.join(drawn, same, "left").select("key", "x", "source", "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + extra)).cast("long").alias("taken"))
 
 
 def take_mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """docs with a column copies added: how often the mix takes the row (0 rows stay out)."""
-    taken = mix_sources(docs, weights, limit).where("taken > 0").select(doc_key().alias("mixed_id"), (F.col("taken") / F.col("size")).cast("int").alias("copies")).distinct()
-    return docs.drop("copies").join(taken, doc_key() == F.col("mixed_id")).drop("mixed_id")
+    taken = mixed(docs, weights, limit).where("taken > 0")
+    taken = taken.select(F.col("key").alias("mixed_id"), F.col("x").alias("mixed_x"), F.col("source").alias("mixed_source"), (F.col("taken") / F.col("size")).cast("int").alias("copies")).distinct()
+    same = (doc_key() == F.col("mixed_id")) & (text_key() == F.col("mixed_x")) & F.col("source").cast("string").eqNullSafe(F.col("mixed_source"))
+    return docs.drop("copies").join(taken, same).drop("mixed_id", "mixed_x", "mixed_source")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, chunks, components, doc_key, read
+from .common import checkpoint, chunks, components, doc_key, read, text_key
 
 RADIUS = 3
 BLOCK = 2048
@@ -45,18 +45,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): the 64 bits as a signed long. Null and empty texts get 0."""
+    """(doc_id, x, fp long): hash of the text, and the 64 bits as a signed long. Null and empty texts get 0."""
 
     def run(batches):
         for batch in batches:
             out = np.zeros(len(batch), np.uint64)
-            for lo, hi, buf, off in chunks(batch.column(1)):
+            for lo, hi, buf, off in chunks(batch.column(2)):
                 raw = buf.tobytes()
                 for i in range(lo, hi):
                     out[i] = fingerprint(raw[off[i - lo] : off[i - lo + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "x", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("x"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x long, fp long")
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -210,29 +210,39 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     return pairs.select("bucket", "id", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of docs, and (own, root, first) of each distinct one: the
+    smallest fingerprint of its component, which tells components apart even where
+    doc_ids are null or repeated, and its own first document (key, x)."""
+    prints = checkpoint(fingerprints(docs))
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min(F.struct(doc_key().alias("key"), "x")).alias("first")))
+    found = components(near_links(distinct.select(F.col("fp").alias("id"), "fp"), radius, block))
+    return prints, distinct.join(found, distinct.fp == found.id, "left").select(F.col("fp").alias("own"), F.coalesce("component", "fp").alias("root"), "first")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text, ...).
 
     Null or empty texts have fingerprint zero and link like any other; equal
-    fingerprints always link. Repeated rows give repeated results; a null doc_id
-    counts as the largest id and takes part. Other columns are ignored; an empty
-    table gives no rows.
+    fingerprints always link. component_id is the smallest doc_id of the component.
+    Repeated rows give repeated results; a null doc_id counts as the largest id and
+    takes part, without linking what else has none. Other columns are ignored; an
+    empty table gives no rows.
     """
-    prints = checkpoint(fingerprints(docs))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min(doc_key()).alias("id")))
-    found = components(near_links(distinct, radius, block))
-    named = distinct.join(found, "id", "left").select(F.col("fp").alias("own"), F.coalesce("component", "id").alias("component_id"))
+    prints, named = grouped(docs, radius, block)
+    least = named.groupBy(F.col("root").alias("top")).agg(F.min("first.key").alias("component_id"))
+    named = named.join(least, F.col("root") == F.col("top"))
     return prints.join(named, prints.fp == named.own).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component (the
-    document that stays); the columns stay as they are. Of rows that repeat
-    one doc_id all stay together; rows without doc_id stay only if their
-    component holds no other."""
-    groups = simhash_groups(docs.select("doc_id", "text"), radius)
-    kept = groups.where(doc_key() == F.col("component_id")).select(doc_key().alias("kept_id")).distinct()
-    return docs.join(kept, doc_key() == F.col("kept_id"), "left_semi")
+    """The rows of docs that stay, one document of each component, that of the
+    smallest doc_id (of one doc_id, the least hash of the text); the columns stay as
+    they are. Rows that repeat a doc_id with its text are one document and stay
+    together; rows without doc_id stay only if their component holds no other."""
+    _, named = grouped(docs.select("doc_id", "text"), radius)
+    kept = named.groupBy("root").agg(F.min("first").alias("kept")).select(F.col("kept.key").alias("kept_id"), F.col("kept.x").alias("kept_x"))
+    return docs.join(kept, (doc_key() == F.col("kept_id")) & (text_key() == F.col("kept_x")), "left_semi")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

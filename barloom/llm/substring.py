@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, chunks, doc_key, find_words, mix, range_hash, read
+from .common import checkpoint, chunks, doc_key, find_words, mix, range_hash, read, text_key
 
 WINDOW = 20
 GRAM = 4
@@ -157,19 +157,20 @@ def in_table(table, slot: np.ndarray) -> np.ndarray:
 
 
 def of_texts(docs: DataFrame, window: int, emit, schema: str) -> DataFrame:
-    """Rows that emit(bytes, doc ids, (h, f, pos, n, first byte, last byte)) makes of
-    the fragments of each slice of whole texts."""
+    """Rows that emit(bytes, (doc ids, text hashes), (h, f, pos, n, first byte, last
+    byte)) makes of the fragments of each slice of whole texts. Id and text hash
+    together are the document."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, buf, off in chunks(batch.column(1)):
+            ids, x = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, _, buf, off in chunks(batch.column(2)):
                 if (found := fragments(buf, off, window)) is not None:
                     row, pos, n, h, first, last, f = found
-                    names, columns = emit(buf, ids[row + lo], (h.view(np.int64), f.view(np.int64), pos, n, first, last))
+                    names, columns = emit(buf, (ids[row + lo], x[row + lo]), (h.view(np.int64), f.view(np.int64), pos, n, first, last))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(doc_key().alias("doc"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(doc_key().alias("doc"), text_key().alias("x"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -181,34 +182,34 @@ SHORT = (1 << 40) - 1
 
 
 def occurrences(docs: DataFrame, window: int, repeated) -> DataFrame:
-    """(h, f, doc, at) of the fragments whose anchor comes back; at: position * 32 + windows."""
+    """(h, f, doc, x, at) of the fragments whose anchor comes back; at: position * 32 + windows."""
 
     def emit(buf, ids, found):
         h, f, pos, n, _, _ = found
         keep = np.flatnonzero(in_table(repeated, slots(h & SHORT)))
-        return ["h", "f", "doc", "at"], [pa.array(x[keep]) for x in (h, f, ids, pos * 32 + n)]
+        return ["h", "f", "doc", "x", "at"], [pa.array(c[keep]) for c in (h, f, *ids, pos * 32 + n)]
 
-    return of_texts(docs, window, emit, "h long, f long, doc long, at long")
+    return of_texts(docs, window, emit, "h long, f long, doc long, x long, at long")
 
 
 def chosen(found, ids, firsts, frequent, wanted: bool) -> np.ndarray:
     """The fragments that are first occurrences in the table, of frequent anchors only
     or of the others only."""
     h, f, pos = found[:3]
-    return np.flatnonzero(in_table(firsts, slots(f, ids, pos)) & (in_table(frequent, slots(h)) == wanted))
+    return np.flatnonzero(in_table(firsts, slots(f, *ids, pos)) & (in_table(frequent, slots(h)) == wanted))
 
 
 def wordings(docs: DataFrame, window: int, firsts, frequent) -> DataFrame:
-    """(h, f, doc, pos, words) of the first occurrences in the table whose anchor is not frequent."""
+    """(h, f, doc, x, pos, words) of the first occurrences in the table whose anchor is not frequent."""
 
     def emit(buf, ids, found):
         h, f, pos, n, first, last = found
         keep = chosen(found, ids, firsts, frequent, False)
         raw = buf.tobytes()
         words = [raw[i:j] for i, j in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-        return ["h", "f", "doc", "pos", "words"], [*(pa.array(x[keep]) for x in (h, f, ids, pos)), pa.array(words, pa.binary())]
+        return ["h", "f", "doc", "x", "pos", "words"], [*(pa.array(c[keep]) for c in (h, f, *ids, pos)), pa.array(words, pa.binary())]
 
-    return of_texts(docs, window, emit, "h long, f long, doc long, pos long, words binary")
+    return of_texts(docs, window, emit, "h long, f long, doc long, x long, pos long, words binary")
 
 
 def match_shards(fragment: DataFrame, window: int) -> DataFrame:
@@ -219,7 +220,7 @@ def match_shards(fragment: DataFrame, window: int) -> DataFrame:
         held, shard, at, seen = None, None, None, set()
         for batch in batches:
             rows, out = batch.column(1).to_pylist(), []
-            for key, f, text in zip(batch.column(0).to_pylist(), rows, batch.column(4).to_pylist(), strict=True):
+            for key, f, text in zip(batch.column(0).to_pylist(), rows, batch.column(5).to_pylist(), strict=True):
                 if key != at:
                     at, shard, held, seen = key, None, text, {f}
                 elif f not in seen:
@@ -233,7 +234,7 @@ def match_shards(fragment: DataFrame, window: int) -> DataFrame:
                     shard.add(mine)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["f", "bits"])
 
-    return fragment.repartition("h").sortWithinPartitions("h", "doc", "pos").mapInArrow(run, "f long, bits long")
+    return fragment.repartition("h").sortWithinPartitions("h", "doc", "x", "pos").mapInArrow(run, "f long, bits long")
 
 
 def match_windows(docs: DataFrame, window: int, firsts, frequent) -> DataFrame:
@@ -245,41 +246,42 @@ def match_windows(docs: DataFrame, window: int, firsts, frequent) -> DataFrame:
         h, f, pos, n, first, last = found
         keep = chosen(found, ids, firsts, frequent, True)
         raw, rows = buf.tobytes(), []
-        for x, d, p, i, j in zip(*(c[keep].tolist() for c in (f, ids, pos, first, last)), strict=True):
+        for x, d, y, p, i, j in zip(*(c[keep].tolist() for c in (f, *ids, pos, first, last)), strict=True):
             words = raw[i:j].split()
-            rows += [(x, d, p + k, k, hashlib.blake2b(b" ".join(words[k : k + window]), digest_size=16).digest()) for k in range(len(words) - window + 1)]
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return ["f", "doc", "pos", "i", "w"], [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            rows += [(x, d, y, p + k, k, hashlib.blake2b(b" ".join(words[k : k + window]), digest_size=16).digest()) for k in range(len(words) - window + 1)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return ["f", "doc", "x", "pos", "i", "w"], [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
 
-    each = of_texts(docs, window, emit, "f long, doc long, pos long, i int, w binary")
-    each = each.groupBy("f", "i", "w").agg(F.min(F.struct("doc", "pos")).alias("at"))
+    each = of_texts(docs, window, emit, "f long, doc long, x long, pos long, i int, w binary")
+    each = each.groupBy("f", "i", "w").agg(F.min(F.struct("doc", "x", "pos")).alias("at"))
     first = each.groupBy("w").agg(F.min("at").alias("first"))
     later = each.join(first, "w").where(F.col("at") != F.col("first"))
     return later.groupBy("f").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT) -> DataFrame:
-    """(doc, pos, bits): a set bit i says that the window at word pos + i of doc
-    starts earlier in the corpus (smaller doc_id, or same document and earlier word)."""
+    """(doc, x, pos, bits): a set bit i says that the window at word pos + i of the
+    document starts earlier in the corpus (smaller doc_id, of one id smaller text
+    hash x, or same document and earlier word)."""
     again = anchors(docs, window).groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     repeated = bit_table(again)
     every = occurrences(docs, window, repeated)
-    distinct = every.groupBy("h", "f").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times"))
-    distinct = checkpoint(distinct.select("h", "f", F.col("first.doc").alias("doc0"), F.col("first.at").alias("at0"), "times"))
+    distinct = every.groupBy("h", "f").agg(F.min(F.struct("doc", "x", "at")).alias("first"), F.count("*").alias("times"))
+    distinct = checkpoint(distinct.select("h", "f", F.col("first.doc").alias("doc0"), F.col("first.x").alias("x0"), F.col("first.at").alias("at0"), "times"))
     shared = checkpoint(distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("h").alias("shared"), "kinds"))
     often = shared.where(F.col("kinds") > frequent).select(F.col("shared").alias("h"))
-    in_shared = distinct.join(shared, distinct.h == shared.shared).select("f", F.col("doc0"), F.floor(F.col("at0") / 32).alias("pos0"))
+    in_shared = distinct.join(shared, distinct.h == shared.shared).select("f", "doc0", "x0", F.floor(F.col("at0") / 32).alias("pos0"))
     firsts, frequent_table = bit_table(in_shared), bit_table(often)
     matched = match_shards(wordings(docs, window, firsts, frequent_table), window)
     if not often.isEmpty():
         matched = matched.union(match_windows(docs, window, firsts, frequent_table))
-    known = distinct.where("times > 1").select("f", "doc0", "at0").join(matched.withColumnRenamed("f", "f1"), F.col("f") == F.col("f1"), "full")
-    known = known.select(F.coalesce("f", "f1").alias("f0"), "doc0", "at0", F.coalesce("bits", F.lit(0)).alias("bits"))
-    first = F.col("doc0").isNull() | ((F.col("doc") == F.col("doc0")) & (F.col("at") == F.col("at0")))
+    known = distinct.where("times > 1").select("f", "doc0", "x0", "at0").join(matched.withColumnRenamed("f", "f1"), F.col("f") == F.col("f1"), "full")
+    known = known.select(F.coalesce("f", "f1").alias("f0"), "doc0", "x0", "at0", F.coalesce("bits", F.lit(0)).alias("bits"))
+    first = F.col("doc0").isNull() | ((F.col("doc") == F.col("doc0")) & (F.col("x") == F.col("x0")) & (F.col("at") == F.col("at0")))
     bits = F.when(first, F.col("bits")).otherwise(F.expr("shiftleft(1L, cast(at % 32 as int)) - 1"))
-    every = every.select("f", "doc", "at").join(known, F.col("f") == F.col("f0"))
-    return every.select("doc", F.floor(F.col("at") / 32).alias("pos"), bits.alias("bits")).where("bits != 0")
+    every = every.select("f", "doc", "x", "at").join(known, F.col("f") == F.col("f0"))
+    return every.select("doc", "x", F.floor(F.col("at") / 32).alias("pos"), bits.alias("bits")).where("bits != 0")
 
 
 def dedup_texts(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT) -> DataFrame:
@@ -288,13 +290,14 @@ def dedup_texts(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT)
 
     Null text: no words, kept_text ''. Texts shorter than the window lose
     nothing; an empty table gives no rows. Rows that repeat a doc_id with the
-    same text count as one document and get the same result; a null doc_id
-    sorts last. Columns of docs by the added names are replaced.
+    same text count as one document and get the same result; other texts under one
+    doc_id, or without any, are documents of their own, in order of a hash of the
+    text. A null doc_id sorts last. Columns of docs by the added names are replaced.
     """
-    spans = repeated_spans(docs, window, frequent).groupBy("doc").agg(F.collect_list(F.struct("pos", "bits")).alias("spans"))
+    spans = repeated_spans(docs, window, frequent).groupBy("doc", "x").agg(F.collect_list(F.struct("pos", "bits")).alias("spans"))
     given = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
-    source = docs.select(F.struct(*given).alias("row"), doc_key().alias("key"))
-    joined = source.join(spans, F.col("key") == F.col("doc"), "left").select(F.col("row.text").cast("binary").alias("text"), "spans.pos", "spans.bits", "row")
+    source = docs.select(F.struct(*given).alias("row"), doc_key().alias("key"), text_key().alias("text_hash"))
+    joined = source.join(spans, (F.col("key") == F.col("doc")) & (F.col("text_hash") == F.col("x")), "left").select(F.col("row.text").cast("binary").alias("text"), "spans.pos", "spans.bits", "row")
 
     def run(batches):
         for batch in batches:

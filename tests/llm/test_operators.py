@@ -380,3 +380,32 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.id: r.component for r in common.components(spark.createDataFrame([Row(a=a, b=b) for a, b in edges])).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_texts_under_one_id_stay_apart(spark):
+    """Rows without doc_id, and texts of different length under one."""
+    rng = random.Random(21)
+    first, other, third, leak = words(rng, 90, 5000), words(rng, 40, 5000), words(rng, 60, 5000), words(rng, 30, 5000)
+    rows = [(5, first, "en", "a"), (None, first, "en", "a"), (None, other, "en", "a"), (7, third + " " + other, "en", "b"), (7, leak, "en", "b"), (8, words(rng, 25, 5000), "en", "b"), (9, third, "en", "a")]
+    docs = frame(spark, rows)
+    for kept in (simhash.keep_one(docs).collect(), shingles.keep_one(docs).collect()):
+        assert len(kept) == 6 and {r.text for r in kept} == {r[1] for r in rows}
+    for frequent in (1000, 0):
+        got = {(r.doc_id, r.text): r.n_removed for r in substring.dedup_texts(docs, frequent=frequent).collect()}
+        assert got == {(i, t): 90 if (i, t) == (None, first) else 40 if t == other else 60 if i == 9 else 0 for i, t, *_ in rows}
+    items = spark.createDataFrame([(1, leak), (2, other)], "item_id long, text string")
+    kept = decontaminate.keep_uncontaminated(docs, items).collect()
+    assert sorted(r.text for r in kept) == sorted([first, first, rows[5][1], third])
+    sample = mixing.mix_sources(docs).collect()
+    assert len(sample) == len(rows)
+    mix = mixing.take_mix(docs).collect()
+    assert len({(r.doc_id, r.text) for r in mix}) == len(mix)
+    assert sorted(r.copies * len(r.text.split()) for r in mix) == sorted(r.taken for r in sample if r.taken)
+
+
+def test_null_ids_join_no_components(spark):
+    rng = random.Random(22)
+    near, far = words(rng, 100, 5000), words(rng, 100, 5000)
+    docs = frame(spark, [(5, near, "en", "a"), (None, near, "en", "a"), (None, far, "en", "a")])
+    got = {r.fingerprint: r.component_id for r in simhash.simhash_groups(docs).collect()}
+    assert got == {f"{reference_fingerprint(near):016x}": 5, f"{reference_fingerprint(far):016x}": common.NO_ID}
