@@ -1,18 +1,21 @@
 """HTML main text by equivalence-class template deduction.
 
-Tokens (tags with their enclosing containers, and whole text nodes) of the
+Tokens (block tags with their enclosing containers, and whole text nodes) of the
 pages of one host are grouped by their occurrence vectors: tokens that occur
-equally often on every page are one equivalence class, told by sums of hashes
-that combine before the shuffle. The largest class of tokens that occur once on
-most pages is the host's skeleton; other classes nest in its slots, and their
-constant text belongs to the template. What remains in the slots of the article
-is the main text; a host without an article has its varying slots.
+equally often on every page are one equivalence class, told by random sums that
+combine before the shuffle. The largest class of tokens that occur once on each
+page that holds them is the host's skeleton. Its containers are the template's
+slots; other classes nest in them, and their constant texts belong to the
+template. The slot with most varying text holds the article; what varies there
+is the main text. Element names and class words weigh where the slots leave a
+choice, and decide alone on a host without a template.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint, read
 
-#: Template rows (host, token) up to which they are broadcast, some 10 MB; beyond, pages are shuffled by host.
+#: Template rows (host, token) up to which they are broadcast, some 20 MB; beyond,
+#: pages meet them by host and salt.
 BROADCAST_ROWS = 200_000
+SALTS = 16
 #: A token belongs to a template if this share of the host's pages, and two at least, hold it.
 SUPPORT = 0.5
+#: A text in the article's slot is a constant of the template on this share of the
+#: pages, and this many at least; copies of one article are no template.
+CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 5
+#: Weight of text in an article or main element; share of the article's text from
+#: which a slot inside it counts where no element name tells.
+NAMED, SHARE = 3.0, 0.1
 
 # Element names of HTML and words of class, id and role that mark what is no article.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -32,28 +43,53 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "dfn", "em", "font", "i", "ins", "del", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 CONTAINER = {"html", "head", "body", "nav", "header", "footer", "aside", "main", "article", "section", "div", "form", "ul", "ol", "dl", "table", "figure", "details", "dialog", "fieldset", "blockquote", "menu", "search"}
 OUTSIDE = {"nav", "footer", "aside", "form", "head", "dialog", "menu", "search"}
-MARKS = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|cookies?|consent|gdpr|notice|notices|alert|popup|pop-?up|modal|overlay|comments?|respond|replies|disqus|menu|navbar|navigation|nav|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|sign-?up|login|search|masthead|topbar|site-?header|page-?header|site-?footer|page-?footer|footer|header|widget|toolbar|skip-?link|contentinfo|complementary|banner)(?:$|[-_\s])", re.I)
+HEADING = {"h1", "h2", "h3"}
+MARKS = re.compile(
+    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|cookies?|consent|gdpr|notice|notices|alert|popup|pop-?up|modal|overlay|comments?|respond|replies|disqus"
+    r"|menu|navbar|navigation|nav|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|sign-?up|login|search|masthead|topbar"
+    r"|site-?header|page-?header|site-?footer|page-?footer|footer|header|widget|toolbar|skip-?link|contentinfo|complementary)(?:$|[-_\s])",
+    re.I,
+)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_DIGITS = re.compile(r"\d+")
+#: Flags of a token.
+BLOCK, TEXT, AWAY, ARTICLE, OPENS = 1, 2, 4, 8, 16
 
 
-def events(page: str):
-    """(kind, name, path, outside, article, text) of each token in page order: kind
-    'tag', 'block' (the block ends here) or 'text'. The path holds containers
-    only, so unclosed paragraphs and inline tags do not change it."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, outside, article
-    at, size = 0, len(page)
+class Node(NamedTuple):
+    """An open container: its path, the token that opened it, whether it (or what
+    encloses it) is marked as no article, and whether it lies in an article."""
+
+    name: str
+    path: str
+    token: int
+    away: bool
+    article: bool
+    plain: dict  # children without attributes so far, by name
 
-    def state():
-        return ("/".join(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack))
 
-    path, outside, article = "", False, False
+def token_of(text: bool, path: str, name: str) -> int:
+    return xxhash.xxh64_intdigest(f"{text}|{path}|{name}".encode("utf-8", "replace")) - (1 << 63)
+
+
+def events(page: str):
+    """(kind, name, token, node, opened, text) of each token in page order: kind
+    'tag', 'block' (a block ends here) or 'text'; node is the container around it,
+    opened the one that it opens. The path holds containers only, so unclosed
+    paragraphs and inline tags do not change it; digits in class and id are left
+    out of it, and containers without attributes are told by their number."""
+    node = Node("", "", 0, False, False, {})
+    stack = [node]
+    at, size = 0, len(page)
     while at < size:
         found = _TOKEN.search(page, at)
         stop = found.start() if found else size
         if stop > at:
-            yield "text", "", path, outside, article, page[at:stop]
+            text = page[at:stop]
+            plain = " ".join(text.split())
+            yield "text", plain, token_of(True, node.path, plain) if plain else 0, node, None, text
         if not found:
             break
         at = found.end()
@@ -61,41 +97,62 @@ def events(page: str):
         if not name:
             continue
         if found.group(1):
-            if name in CONTAINER and any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+            if name in CONTAINER and any(x.name == name for x in stack):
+                while stack.pop().name != name:
                     pass
-                path, outside, article = state()
-            yield ("tag" if name in INLINE else "block"), "/" + name, path, outside, article, ""
+                node = stack[-1]
+            inline = name in INLINE
+            yield ("tag" if inline else "block"), "/" + name, 0 if inline else token_of(False, node.path, "/" + name), node, None, ""
             continue
-        marks = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(found.group(3))}
-        label = name + "".join(f".{marks[k]}" for k in ("id", "class", "role") if k in marks)
         if name in RAW and not found.group(3).endswith("/"):
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
-            yield ("tag" if name in ("svg", "math", "button", "select") else "block"), label, path, outside, article, ""
+            yield ("tag" if name in ("svg", "math", "button", "select") else "block"), name, token_of(False, node.path, name), node, None, ""
             continue
-        yield ("tag" if name in INLINE else "block"), label, path, outside, article, ""
-        if name in CONTAINER and name not in VOID:
-            said = " ".join(marks.get(k, "") for k in ("id", "class", "role"))
-            inner = article or name in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articleBody"
-            away = name in OUTSIDE or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and bool(MARKS.search(said)))
-            stack.append((name, label, away, inner))
-            path, outside, article = state()
-
-
-def tokens(page: str) -> dict[int, tuple[int, int]]:
-    """Hash of each distinct token: (times on the page, rank of the first)."""
-    told: dict[str, list[int]] = {}
-    for rank, (kind, name, path, _, _, text) in enumerate(events(page)):
-        if kind == "text":
-            if not (name := " ".join(text.split())):
-                continue
-        key = f"{kind == 'text'}|{path}|{name}"
-        if key in told:
-            told[key][0] += 1
-        else:
-            told[key] = [1, rank]
-    return {xxhash.xxh64_intdigest(k.encode("utf-8", "replace")) - (1 << 63): tuple(v) for k, v in told.items()}
+        if name in INLINE:
+            yield "tag", name, 0, node, None, ""
+            continue
+        if name not in CONTAINER:
+            yield "block", name, token_of(False, node.path, name), node, None, ""
+            continue
+        marks = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(found.group(3))} if found.group(3) else {}
+        label = name + "".join(f".{_DIGITS.sub('', marks[k])}" for k in ("id", "class", "role") if k in marks)
+        if label == name:
+            node.plain[name] = node.plain.get(name, 0) + 1
+            label += f"~{node.plain[name]}" if node.plain[name] > 1 else ""
+        said = " ".join(marks.get(k, "") for k in ("id", "class", "role"))
+        inner = node.article or name in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articleBody"
+        away = name in OUTSIDE or (name == "header" and not node.article) or (name not in ("html", "body", "article", "main") and bool(said and MARKS.search(said)))
+        token = token_of(False, node.path, label)
+        opened = Node(name, f"{node.path}/{label}", token, node.away or away, inner, {})
+        yield "block", label, token, node, opened, ""
+        stack.append(opened)
+        node = opened
+
+
+def tokens(page: str) -> dict[int, list[int]]:
+    """Of each distinct token: times on the page, rank of the first, token of the
+    container around it, flags, and characters (of a text, or of all text under
+    the container that the token opens)."""
+    told: dict[int, list[int]] = {}
+    up: dict[int, int] = {}
+    for rank, (kind, _, token, node, opened, _) in enumerate(events(page)):
+        if not token or kind == "tag":
+            continue
+        row = told.get(token)
+        if row is None:
+            near = opened or node
+            row = told[token] = [0, rank, node.token, TEXT if kind == "text" else BLOCK | AWAY * near.away | ARTICLE * near.article | OPENS * bool(opened), 0]
+        row[0] += 1
+        if opened:
+            up[token] = node.token
+        elif kind == "text":
+            size, at = len(_), node.token
+            row[4] += size
+            while at:
+                told[at][4] += size
+                at = up[at]
+    return told
 
 
 def host(url: Column) -> Column:
@@ -103,91 +160,157 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+SUMS = ("pages", "times", "v1", "v2", "rank", "chars")
+
+
 def vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, times, v1, v2, rank): of each token of a host the pages
-    that hold it, its occurrences, two sums that stand for its occurrence vector,
-    and the sum of its ranks. Combined in each task and again by the shuffle."""
+    """(host, token, pages, times, v1, v2, rank, chars, parent, flags, low, high): of
+    each token of a host the pages that hold it, its occurrences, two sums that
+    stand for its occurrence vector (occurrences times a random number of the
+    page), sums of its ranks and characters, the container around it, and the
+    least and the greatest hash of the pages. Combined in each task and again by
+    the shuffle."""
 
     def run(batches):
         for batch in batches:
             total: dict[tuple[str, int], list[int]] = {}
             for site, key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                known = {0: (1, 0)} | tokens(page or "")  # token 0 counts the pages
-                for token, (times, rank) in known.items():
-                    v = xxhash.xxh64_intdigest(b"%d %d" % (key, times))
+                content = xxhash.xxh64_intdigest((page or "").encode("utf-8", "replace")) - (1 << 63)
+                r1, r2 = key & 0x3FFFFFFF, key >> 32 & 0x3FFFFFFF
+                known = {0: [1, 0, 0, 0, 0]} | tokens(page or "")  # token 0 counts the pages
+                for token, (times, rank, parent, flags, chars) in known.items():
                     row = total.get((site, token))
                     if row is None:
-                        total[site, token] = [1, times, v & 0xFFFFFFFF, v >> 32, rank]
+                        total[site, token] = [1, times, r1 * times, r2 * times, rank, chars, parent, flags, content, content]
                     else:
-                        for k, x in enumerate((1, times, v & 0xFFFFFFFF, v >> 32, rank)):
-                            row[k] += x
-            names = ["host", "token", "pages", "times", "v1", "v2", "rank"]
-            columns = [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(5))]
+                        row[0] += 1
+                        row[1] += times
+                        row[2] += r1 * times
+                        row[3] += r2 * times
+                        row[4] += rank
+                        row[5] += chars
+                        if content < row[8]:
+                            row[8] = content
+                        if content > row[9]:
+                            row[9] = content
+            names = ["host", "token", *SUMS, "parent", "flags", "low", "high"]
+            columns = [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(10))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     key = F.xxhash64(F.col("page_id"), F.col("url"))
     given = pages.select(host(F.col("url")).alias("host"), key.alias("key"), F.col("html").cast("string").alias("html"))
-    each = given.mapInArrow(run, "host string, token long, pages long, times long, v1 long, v2 long, rank long")
-    return each.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "v1", "v2", "rank")])
+    each = given.mapInArrow(run, "host string, token long, " + ", ".join(f"{c} long" for c in (*SUMS, "parent", "flags", "low", "high")))
+    return each.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in SUMS], F.max("parent").alias("parent"), F.max("flags").alias("flags"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(host, token, skeleton, place): the tokens of each host's template. skeleton:
-    the token is of the host's largest class of tokens that occur once on each
-    page that holds them; place orders them. The rest are of classes nested in
-    the skeleton's slots. Hosts with one page have no template."""
-    seen = vectors(pages)
+    """(host, token, parent, flags, chars, place, skeleton, often): the tokens of each
+    host's template. skeleton: the token is of the host's largest class of tokens
+    that occur once on each page that holds them; place orders them. The rest are
+    of classes nested in the skeleton's slots. often: on enough pages to be
+    a constant of the article's slot. Hosts with one page have no template."""
+    seen = checkpoint(vectors(pages).where("token = 0 or pages >= 2"))  # pages are parsed once for all that follows
     whole = seen.where("token = 0").select(F.col("host").alias("site"), F.col("pages").alias("all"))
-    often = seen.where("token != 0 and pages >= 2").join(whole, F.col("host") == F.col("site")).where(F.col("pages") >= support * F.col("all"))
+    often = seen.where("token != 0").join(whole, F.col("host") == F.col("site")).where(F.col("pages") >= support * F.col("all"))
+    often = often.where((F.col("low") != F.col("high")) | (F.col("flags").bitwiseAND(TEXT) == 0))  # a text of one page and its copies is no constant
     kind = F.struct("pages", "times", "v1", "v2")
-    often = often.select("host", "token", kind.alias("kind"), (F.col("rank") / F.col("pages")).alias("place"))
+    constant = (F.col("pages") >= CONSTANT_PAGES) & (F.col("pages") >= CONSTANT_SHARE * F.col("all"))
+    often = often.select("host", "token", "parent", "flags", "chars", kind.alias("kind"), (F.col("rank") / F.col("pages")).alias("place"), constant.alias("often"))
     classes = often.where("kind.pages = kind.times").groupBy("host", "kind").agg(F.count("*").alias("size"))
     top = classes.groupBy(F.col("host").alias("site")).agg(F.max(F.struct("size", "kind")).alias("top")).select("site", F.col("top.kind").alias("top"))
-    return often.join(top, F.col("host") == F.col("site"), "left").select("host", "token", F.coalesce(F.col("kind") == F.col("top"), F.lit(False)).alias("skeleton"), "place")
-
-
-def main_text(page: str, skeleton: list[int], nested: set[int]) -> str:
-    """The main text of one page, given the host's skeleton in order and its other template tokens."""
-    place = {t: k for k, t in enumerate(skeleton)}
-    slot, slots = -1, {}  # of each slot: its blocks in the article, and those outside one
-    block: list[str] = []
-    where = None
+    return often.join(top, F.col("host") == F.col("site"), "left").select("host", "token", "parent", "flags", "chars", "place", F.coalesce(F.col("kind") == F.col("top"), F.lit(False)).alias("skeleton"), "often")
+
+
+class Template:
+    """What a host's template says: slots (tokens of the skeleton's containers),
+    those that are kept, those whose headings are kept, and constant texts: those
+    of the article's slot, and all."""
+
+    def __init__(self, rows: list[dict]):
+        by = {r["token"]: r for r in rows}
+        self.constant = {r["token"] for r in rows if r["flags"] & TEXT}
+        self.often = {r["token"] for r in rows if r["flags"] & TEXT and r["often"]}
+        self.slots = {t for t, r in by.items() if r["skeleton"] and r["flags"] & OPENS}
+        self.kept: set[int] = set()
+        self.headings: set[int] = set()
+        varying = {t: by[t]["chars"] for t in self.slots}
+        for token in self.constant:  # constants count for no slot
+            for at in self._up(by[token]["parent"], by):
+                if at in varying:
+                    varying[at] -= by[token]["chars"]
+        own = dict(varying)
+        for token in self.slots:
+            above = next((x for x in self._up(by[token]["parent"], by) if x in self.slots), None)
+            if above is not None:
+                own[above] -= varying[token]
+        weight = {t: 0.0 if by[t]["flags"] & AWAY else own[t] * (NAMED if by[t]["flags"] & ARTICLE else 1.0) for t in self.slots}
+        main = max(self.slots, key=lambda t: (weight[t], -by[t]["place"]), default=None)
+        if main is None or weight[main] <= 0:
+            self.slots = set()
+            return
+        top = main
+        for at in self._up(by[main]["parent"], by):
+            if at in by and by[at]["flags"] & ARTICLE:
+                top = at
+        named = by[main]["flags"] & ARTICLE
+        for token in self.slots:
+            if token == main or (top in self._up(token, by) and not by[token]["flags"] & AWAY and (named or own[token] >= SHARE * own[main])):
+                self.kept.add(token)
+        if not named and by[main]["parent"] in self.slots:
+            self.headings.add(by[main]["parent"])
+
+    @staticmethod
+    def _up(token: int, by: dict) -> list[int]:
+        chain = []
+        while token:
+            chain.append(token)
+            token = by[token]["parent"] if token in by else 0
+        return chain
+
+
+def main_text(page: str, template: Template) -> str:
+    """The main text of one page, given the template of its host.
+
+    Texts of the kept slots count without the template's constants. A page that
+    holds nothing there has the text of its article or main elements; without
+    those, what no name marks and no template holds."""
+    found: tuple[list[str], ...] = ([], [], [], [])  # varying text of kept slots, all of theirs, of articles, of the rest
+    block: list[tuple[str, int]] = []  # texts of the open block, and what they belong to: bits for the lists above
+    slot, heading, at_node = 0, False, None
+    held: dict[int, int] = {0: 0}
 
     def close():
-        if where is not None and block:
-            text = " ".join(html.unescape("".join(block)).split())
+        for bit, told in enumerate(found):
+            text = " ".join(html.unescape("".join(t for t, b in block if b >> bit & 1)).split())
             if text:
-                slots.setdefault(where[0], ([], []))[not where[1]].append((len(order), text))
-                order.append(text)
+                told.append(text)
         block.clear()
 
-    order: list[str] = []
-    for kind, name, path, outside, article, text in events(page):
-        if kind == "text":
-            if not (plain := " ".join(text.split())):
-                if block:
-                    block.append(" ")
-                continue
-            name = plain
-        token = xxhash.xxh64_intdigest(f"{kind == 'text'}|{path}|{name}".encode("utf-8", "replace")) - (1 << 63)
-        if kind != "tag" and place.get(token, -1) > slot:  # the next skeleton token opens its slot
-            close()
-            slot = place[token]
+    for kind, name, token, node, opened, text in events(page):
         if kind == "block":
             close()
-            if name == "br" and block:
-                block.append(" ")
+            if opened:
+                held[token] = token if token in template.slots else held.get(node.token, 0)
+            if name.lstrip("/") in HEADING:
+                heading = name[0] != "/"
         elif kind == "text":
-            constant = not article and (token in nested or token in place)
-            if outside or constant:
-                continue
-            if (slot, article) != where:
+            if node is not at_node:
                 close()
-                where = (slot, article)
-            block.append(text)
+                at_node, slot = node, held.get(node.token, 0)
+            if not name:
+                if block:
+                    block.append((" ", 15))
+                continue
+            in_slot = slot in template.kept or (heading and slot in template.headings)
+            bits = 0
+            if in_slot and not node.away:
+                bits = 2 | (token not in template.often)
+            if not node.away:
+                bits |= 4 if node.article else 0
+                bits |= 8 if token not in template.constant else 0
+            block.append((text, bits))
     close()
-    inside = [x for a, _ in slots.values() for x in a]
-    return " ".join(x for _, x in sorted(inside or [x for _, b in slots.values() for x in b]))
+    return " ".join(next((x for x in found if x), []))
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -197,25 +320,29 @@ def extract(pages: DataFrame, support: float = SUPPORT, broadcast_rows: int = BR
     the host ''. Repeated rows give repeated results and count as pages of
     their host; an empty table gives no rows. Other columns are ignored.
     """
-    found = templates(pages, support)
-    by = found.groupBy("host").agg(F.sort_array(F.collect_list(F.when(F.col("skeleton"), F.struct("place", "token")))).alias("skeleton"), F.collect_list(F.when(~F.col("skeleton"), F.col("token"))).alias("nested"))
-    by = by.select(F.col("host").alias("site"), F.col("skeleton.token").alias("skeleton"), "nested")
-    by = checkpoint(by)
-    rows = by.agg(F.sum(F.size("skeleton") + F.size("nested"))).first()[0] or 0
+    row = F.struct("token", "parent", "flags", "chars", "place", "skeleton", "often")
+    by = checkpoint(templates(pages, support).groupBy(F.col("host").alias("site")).agg(F.collect_list(row).alias("template")))
+    rows = by.agg(F.sum(F.size("template"))).first()[0] or 0
     given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = given.join(F.broadcast(by) if rows <= broadcast_rows else by, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "host", "skeleton", "nested")
+    if rows <= broadcast_rows:
+        joined = given.join(F.broadcast(by), F.col("host") == F.col("site"), "left")
+    else:  # a host's pages go to SALTS tasks
+        by = by.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        given = given.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = given.join(by, (F.col("host") == F.col("site")) & (F.col("salt") == F.col("s")), "left")
+    joined = joined.select("page_id", "url", "html", "host", "template")
 
     def run(batches):
-        kept: dict[str, tuple[list[int], set[int]]] = {}
+        kept: dict[str, Template] = {}
         for batch in batches:
             texts = []
-            sites, skeletons, nested = (batch.column(k) for k in (3, 4, 5))
-            for i, (site, page) in enumerate(zip(sites.to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            given_templates = batch.column(4)
+            for i, (site, page) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if site not in kept:
                     if len(kept) > 1000:
                         kept.clear()
-                    kept[site] = (skeletons[i].as_py() or [], set(nested[i].as_py() or []))
-                texts.append(main_text(page or "", *kept[site]))
+                    kept[site] = Template(given_templates[i].as_py() or [])
+                texts.append(main_text(page or "", kept[site]))
             size = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(size)], names=["page_id", "url", "text", "n_chars"])
 
