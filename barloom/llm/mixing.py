@@ -21,6 +21,9 @@ from .common import WORD, checkpoint, doc_key, read, text_key
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK = 4096
+#: Rows of one repeated document that one step writes; salts of a very frequent one.
+RUN = 65_536
+SALTS = 64
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -122,33 +125,68 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, block: int
     taken is size times the copies that the mix takes, never above `limit`
     times size; each source's taken words come within one document of its
     target. Null text has size 0; a null source is a source, the last in order.
-    Rows that repeat a doc_id, source and text are one unit of the sample, all
-    taken alike; a null doc_id stays null. An empty table gives no
-    rows. Reruns agree: the order of the flight is a hash of ids and texts.
+    Rows that repeat a doc_id, source and text are drawn each by itself: of n such
+    rows, as many are taken once more as their chances add up to. A null doc_id
+    stays null. An empty table gives no rows. Reruns agree: the order of the flight
+    is a hash of ids and texts.
     """
-    return mixed(docs, weights, limit, block).select("doc_id", "size", "source_size", "target", "taken")
+    each = mixed(docs, weights, limit, block)
+    many = F.ceil(F.col("n") / RUN).cast("long")
+    runs = each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    long, short = runs.where(F.col("n") > RUN), runs.where(F.col("n") <= RUN)
+    runs = short.union(long.repartition("doc_id", "x", "part"))  # rows of a frequent document come from several tasks
+    last = F.least(F.col("n"), (F.col("part") + 1) * RUN)
+    rows = runs.withColumn("at", F.explode(F.sequence(F.col("part") * RUN + 1, last)))
+    copies = F.col("base") + (F.col("at") <= F.col("extra")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """mix_sources with the columns key, x and source, which name the unit."""
-    sized = checkpoint(sizes(docs))
-    aims = targets(sized, weights, limit).select(F.col("source").alias("own"), "source_size", "target")
+    """(source, key, x, doc_id, size, n, source_size, target, base, extra) of each
+    distinct document: n rows repeat it; each is taken base times, extra of them
+    once more. What n chances add up to beyond whole rows is one chance, drawn with
+    those of the other documents."""
+    known = checkpoint(sizes(docs).groupBy("source", "key", "x", "doc_id", "size").agg(F.count("*").alias("n")))
+    aims = targets(known.select("source", (F.col("size") * F.col("n")).alias("size")), weights, limit).select(F.col("source").alias("own"), "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = sized.join(aims, F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    joined = joined.withColumn("base", F.floor(ratio + 1e-12)).withColumn("chance", F.greatest(ratio - F.col("base"), F.lit(0.0)))
-    units = joined.where("size > 0").select("source", "key", "x", "size", "chance").distinct()
-    drawn = balanced(units, block).where("chance = 1").select(F.col("source").alias("s2"), F.col("key").alias("k2"), F.col("x").alias("x2"))
+    joined = known.join(aims, F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    joined = joined.withColumn("base", F.floor(ratio + 1e-12)).withColumn("share", F.when(F.col("size") > 0, F.col("n") * F.greatest(ratio - F.col("base"), F.lit(0.0))).otherwise(0.0))
+    joined = joined.withColumn("sure", F.floor(F.col("share") + 1e-9)).withColumn("chance", F.greatest(F.col("share") - F.col("sure"), F.lit(0.0)))
+    drawn = balanced(joined.where("chance > 0").select("source", "key", "x", "size", "chance"), block).where("chance = 1")
+    drawn = drawn.select(F.col("source").alias("s2"), F.col("key").alias("k2"), F.col("x").alias("x2"))
     same = (F.col("key") == F.col("k2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("x") == F.col("x2"))
-    extra = F.when(F.col("k2").isNotNull(), 1).otherwise(0)
-    return joined.join(drawn, same, "left").select("key", "x", "source", "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + extra)).cast("long").alias("taken"))
+    extra = F.least(F.col("sure") + F.col("k2").isNotNull().cast("long"), F.col("n"))
+    return joined.join(drawn, same, "left").select("source", "key", "x", "doc_id", "size", "n", "source_size", "target", "base", extra.alias("extra"))
 
 
 def take_mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """docs with a column copies added: how often the mix takes the row (0 rows stay out)."""
-    taken = mixed(docs, weights, limit).where("taken > 0")
-    taken = taken.select(F.col("key").alias("mixed_id"), F.col("x").alias("mixed_x"), F.col("source").alias("mixed_source"), (F.col("taken") / F.col("size")).cast("int").alias("copies")).distinct()
-    same = (doc_key() == F.col("mixed_id")) & (text_key() == F.col("mixed_x")) & F.col("source").cast("string").eqNullSafe(F.col("mixed_source"))
-    return docs.drop("copies").join(taken, same).drop("mixed_id", "mixed_x", "mixed_source")
+    """docs with a column copies added: how often the mix takes the row (0 rows stay out).
+
+    Of rows that repeat a document some may be taken once more than the others. A
+    document with over a thousandth of all rows (and RUN rows) is met by salt: its
+    rows are counted off in each salt, to within a row of their share. Null ids and
+    texts and empty tables behave as in mix_sources; a column copies is replaced.
+    """
+    taken = checkpoint(mixed(docs, weights, limit).where("size > 0"))
+    there = taken.agg(F.sum("n")).first()[0] or 0
+    names = [F.col(c).alias(f"mix_{c}") for c in ("key", "x", "source", "n", "base", "extra")]
+    taken = taken.where("base + extra > 0").select(*names)
+    same = (doc_key() == F.col("mix_key")) & (text_key() == F.col("mix_x")) & F.col("source").cast("string").eqNullSafe(F.col("mix_source"))
+    rows = docs.drop("copies")
+    hot = taken.where(F.col("mix_n") > max(RUN, there // 1000))  # a thousand at most
+    cold = taken.where(F.col("mix_n") <= max(RUN, there // 1000))
+    unit = ["mix_key", "mix_x", "mix_source"]
+    at = F.row_number().over(Window.partitionBy(*unit).orderBy("mix_x"))
+    once_more = (F.col("mix_extra") == F.col("mix_n")) | ((F.col("mix_extra") > 0) & (F.col("mix_at") <= F.col("mix_extra")))
+    out = rows.join(cold, same).withColumn("mix_at", at).withColumn("copies", (F.col("mix_base") + once_more.cast("long")).cast("int"))
+    if not hot.isEmpty():
+        salted = rows.join(F.broadcast(hot), same).withColumn("mix_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        at = F.row_number().over(Window.partitionBy(*unit, "mix_salt").orderBy("mix_x"))
+        share, phase = F.col("mix_extra") / F.col("mix_n"), (F.col("mix_salt") + 0.5) / SALTS
+        step = F.floor(F.col("mix_at") * share + phase) - F.floor((F.col("mix_at") - 1) * share + phase)
+        salted = salted.withColumn("mix_at", at).withColumn("copies", (F.col("mix_base") + step).cast("int"))
+        out = out.unionByName(salted.drop("mix_salt"))
+    return out.where("copies > 0").drop("mix_at", *[f"mix_{c}" for c in ("key", "x", "source", "n", "base", "extra")])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
