@@ -3,8 +3,9 @@ partition-summed normal equations, isotonic calibration.
 
 Statistics of a whole text are standardised and mapped to cosines at random
 frequencies (a Gaussian kernel); tasks sum phi phi' and phi y over a bounded
-sample of labelled rows, the sums are solved once, and the raw scores of the
-sample are calibrated by pool-adjacent-violators.
+sample of labelled rows, by fold; the sums over all folds give the weights. For
+the calibration by pool-adjacent-violators, each row of the sample is scored
+with the sums of the other folds, so no row calibrates what was fitted on it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import chunks, find_words, fold, range_hash, read
 from .linear import labelled
 
-#: Labelled rows of the fit, about; tasks that sum; features; kernel width; ridge.
+#: Labelled rows of the fit, about; folds; features; kernel width; ridge.
 SAMPLE_ROWS = 16384
-TASKS = 12
+FOLDS = 4
 FEATURES = 256
 WIDTH = 2.5
 RIDGE = 1.0
@@ -102,26 +103,31 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(rows: DataFrame, part, width: int) -> np.ndarray:
-    """Sum over tasks of part(statistics, labels), an array of `width` numbers."""
+    """Sum over tasks of part(statistics, labels), `width` numbers for each fold."""
 
     def run(batches):
-        total = np.zeros(width)
+        total = np.zeros((FOLDS, width))
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            own = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, buf, off in chunks(batch.column(0)):
-                total += part(statistics(buf, off), label[lo:hi]).ravel()
+                x = statistics(buf, off)
+                for k in range(FOLDS):
+                    mine = own[lo:hi] == k
+                    total[k] += part(x[mine], label[lo:hi][mine]).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
 
-    parts = rows.select("text", "label").mapInArrow(run, "total binary").collect()
-    return sum((np.frombuffer(p.total) for p in parts), np.zeros(width))
+    parts = rows.mapInArrow(run, "total binary").collect()
+    return sum((np.frombuffer(p.total).reshape(FOLDS, width) for p in parts), np.zeros((FOLDS, width)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS):
     """Everything a score needs: scales, frequencies, weights, calibration. The
-    driver gets TASKS sums of fixed size and the sample's raw scores."""
-    rows = labelled(docs, labels, "quality", 3, 1, bound).repartition(TASKS)
+    driver gets each task's sums, of fixed size, and the sample's raw scores."""
+    rows = labelled(docs, labels, "quality", 3, 1, bound)
+    rows = rows.select("text", "label", F.pmod(F.xxhash64("key", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("part"))
     k = len(NAMES)
-    moments = sums(rows, lambda x, y: np.vstack([np.full(k, len(x)), x.sum(axis=0), (x * x).sum(axis=0), np.full(k, y.sum())]), 4 * k).reshape(4, k)
+    moments = sums(rows, lambda x, y: np.vstack([np.full(k, len(x)), x.sum(axis=0), (x * x).sum(axis=0), np.full(k, y.sum())]), 4 * k).sum(axis=0).reshape(4, k)
     n = moments[0, 0]
     omega, phase = frequencies(FEATURES, SEED)
     if n == 0 or moments[3, 0] in (0, n):
@@ -135,16 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS):
         phi = mapped(x, middle, scale, omega, phase)
         return np.vstack([phi.T @ phi, phi.T @ y])
 
-    total = sums(rows, equations, (width + 1) * width).reshape(width + 1, width)
-    weights = np.linalg.solve(total[:width] + RIDGE * np.eye(width), total[width])
+    each = sums(rows, equations, (width + 1) * width).reshape(FOLDS, width + 1, width)
+    total = each.sum(axis=0)
+    weights, *others = [np.linalg.solve(m[:width] + RIDGE * np.eye(width), m[width]) for m in (total, *(total - x for x in each))]
+    others = np.stack(others)
 
     def raw(batches):
         for batch in batches:
+            own = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, buf, off in chunks(batch.column(0)):
-                score = mapped(statistics(buf, off), middle, scale, omega, phase) @ weights
+                score = (mapped(statistics(buf, off), middle, scale, omega, phase) * others[own[lo:hi]]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(score), batch.column(1).slice(lo, hi - lo)], names=["score", "label"])
 
-    scored = rows.select("text", "label").mapInArrow(raw, "score double, label int").toArrow()
+    scored = rows.mapInArrow(raw, "score double, label int").toArrow()
     at, value = isotonic(scored.column("score").to_numpy(), scored.column("label").to_numpy().astype(float))
     return middle, scale, omega, phase, weights, at, value
 

@@ -215,17 +215,24 @@ def test_spaced_seeds_match_brute_force_on_tables(spark):
     assert held <= {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
 
 
-def test_toxicity_and_quality_and_language_on_held_out_rows(spark):
+def test_quality_and_language_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
-    toxic = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null")
-    assert toxic.selectExpr("avg(cast(predicted = toxic as int))").first()[0] > 0.85
     good = quality.quality(docs, labels).join(labels, "doc_id").where("held_out and quality is not null")
     assert good.selectExpr("avg(cast(predicted = quality as int))").first()[0] > 0.95
     lang = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
     assert lang.selectExpr("avg(cast(lang_pred = lang as int))").first()[0] > 0.97
 
 
+def test_toxicity_finds_both_classes_of_held_out_rows(spark):
+    """Some twentieth of the toxic labels stands at random on clean texts."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").select("predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit >= 0.9 * sum(r.toxic for r in rows) and hit >= 0.95 * sum(r.predicted for r in rows)
+
+
 def test_classifiers_on_edge_rows(spark):
     rows = corpus()
     docs = frame(spark, rows)
