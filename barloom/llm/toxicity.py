@@ -80,17 +80,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, bou
     are 0 and the bias is the odds of the only class, bounded."""
     spark = docs.sparkSession
     train = labelled(docs, labels, "toxic", modulus, held, bound)
-    counts = class_counts(train).toPandas()
-    weights = np.zeros(1 << TABLE_BITS, np.float32)
-    p, q = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
     size = train.agg(F.sum("label"), F.count("*")).first()
     toxic, clean = max(size[0] or 0, 1), max(size[1] - (size[0] or 0), 1)
-    ratio = np.log((p + 1) / (toxic + 2)) - np.log((q + 1) / (clean + 2))
-    enough = p + q >= 3
-    strength = np.where(enough, np.abs(ratio) * np.sqrt(p / toxic + q / clean), 0)
-    best = np.argsort(-strength, kind="stable")[:KEPT]
-    best = best[strength[best] > 0]
-    slots, scale = counts["slot"].to_numpy(np.int64)[best], ratio[best]
+    weights = np.zeros(1 << TABLE_BITS, np.float32)
+    ratio = F.log((F.col("toxic") + 1) / (toxic + 2)) - F.log((F.col("clean") + 1) / (clean + 2))
+    strength = F.abs("ratio") * F.sqrt(F.col("toxic") / toxic + F.col("clean") / clean)
+    counts = class_counts(train).where("toxic + clean >= 3").withColumn("ratio", ratio).withColumn("strength", strength)
+    best = counts.where("strength > 0").orderBy(F.desc("strength"), "slot").limit(KEPT).select("slot", "ratio").toPandas()
+    slots, scale = best["slot"].to_numpy(np.int64), best["ratio"].to_numpy(float)
     index = np.full(1 << TABLE_BITS, -1, np.int32)
     index[slots] = np.arange(len(slots))
     shared = spark.sparkContext.broadcast(index)
