@@ -22,11 +22,15 @@ _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder that
-    spark.checkpoint.dir names; only where it is unset (tests), in a new local one."""
+    spark.checkpoint.dir names. Where that is unset, a local master (tests) gets a
+    new folder of its own; a cluster is an error, as executors share no local folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
 
@@ -105,23 +109,47 @@ def find_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, off)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Neighbours from which on an id is a hub, and salts of a label that many ids share.
+HUB, SALTS = 1000, 8
+
+
+def components(edges: DataFrame, rounds: int = 60, hub: int = HUB) -> DataFrame:
     """Connected components of undirected links (a long, b long), as (id,
     component): the smallest id reachable. Ids without links are absent.
 
     Each round takes the smallest label among the neighbours (a map-side
     combined minimum) and then jumps to the label of that label, so long chains
-    halve; the round's labels are checkpointed. Self links, repeated links and
-    links in both directions are fine; an empty table gives no rows.
+    halve; the round's labels are checkpointed. No id gathers its neighbours: the
+    labels of hubs (a thousandth of all links and more, two thousand ids at most)
+    are broadcast, and labels that many ids share are met by salt. Self links,
+    repeated links and links in both directions are fine; an empty table gives no
+    rows.
     """
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src != dst")
     both = checkpoint(both.union(both.select("dst", "src")).distinct())
-    labels = both.groupBy(F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("component"))
+    degree = both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("component"), F.count("*").alias("n"))
+    known = checkpoint(degree.select(F.col("src").alias("id"), "component", "n"))
+    most = max(hub, (known.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hubs = checkpoint(known.where(F.col("n") > most).select("id"))
+    some = not hubs.isEmpty()
+    if some:
+        is_hub = F.broadcast(hubs.select(F.col("id").alias("dst")))
+        rare, frequent = checkpoint(both.join(is_hub, "dst", "left_anti")), checkpoint(both.join(is_hub, "dst", "left_semi"))
+    else:
+        rare = both
+    labels = known.select("id", "component")
     for _ in range(rounds):
-        near = both.join(labels, both.dst == labels.id).groupBy("src").agg(F.min("component").alias("near"))
+        heard = rare.join(labels, rare.dst == labels.id).select("src", "component")
+        if some:
+            told = labels.join(F.broadcast(hubs), "id", "left_semi")
+            heard = heard.union(frequent.join(F.broadcast(told), frequent.dst == told.id).select("src", "component"))
+        near = heard.groupBy("src").agg(F.min("component").alias("near"))
         moved = labels.join(near, labels.id == near.src, "left").select("id", F.least("component", F.coalesce("near", "component")).alias("goal"), F.col("component").alias("was"))
-        root = moved.select(F.col("id").alias("at"), F.col("goal").alias("next"))
-        moved = checkpoint(moved.join(root, moved.goal == root.at, "left").select("id", F.least("goal", F.coalesce("next", "goal")).alias("component"), "was"))
+        goals = moved.select(F.col("goal").alias("at")).distinct()
+        jump = moved.select(F.col("id").alias("own"), F.col("goal").alias("next")).join(goals, F.col("own") == F.col("at"), "left_semi")
+        jump = jump.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        meet = (F.col("goal") == F.col("own")) & (F.pmod(F.xxhash64("id"), F.lit(SALTS)) == F.col("salt"))
+        moved = checkpoint(moved.join(jump, meet, "left").select("id", F.least("goal", F.coalesce("next", "goal")).alias("component"), "was"))
         labels = moved.select("id", "component")
         if moved.where("component != was").isEmpty():
             return labels

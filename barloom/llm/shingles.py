@@ -1,10 +1,12 @@
-"""Near copies by shingles: MinHash bands find candidates, exact Jaccard decides.
-
-Texts with equal sets of five-word shingles are one node. Nodes that agree in a
-band of minima share a bucket; buckets of the same members are one. Only nodes
-that share a bucket ship their sets, and inside a bucket every pair is compared
-by its whole sets. A bucket above `block` nodes is split into blocks, and each
-pair of blocks is a bucket of its own, so no pair is lost.
+"""Near copies by SimHash on five-word shingles, a similarity of 0.8 and more.
+
+Texts with equal sets of five-word shingles are one node. Buckets of nodes that
+agree in a band of minima bound the search; buckets of the same members are one.
+Inside a bucket the nodes' SimHash fingerprints stand in vertical bit planes, and
+the bit-sliced comparison of the SimHash operator, with a radius wide enough for
+the similarity, leaves the pairs whose whole sets are then compared exactly. A
+bucket above `block` nodes is split into blocks, and each pair of blocks is a
+bucket of its own, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpoint, chunks, components, doc_key, find_words, mix, range_hash, text_key
-from .simhash import Forest
+from .simhash import Forest, sliced
 from .substring import bit_table, in_table, slots
 
 SHINGLE = 5
@@ -24,6 +26,9 @@ SIMILARITY = 0.8
 #: Bands of minima: at a similarity of 0.8, one pair in 2,900 shares no band.
 BANDS, ROWS = 20, 5
 BLOCK = 1024
+#: Differing bits of 64 up to which sets are compared: at a similarity of 0.8 a
+#: pair has 9.7 on average, with a deviation of 2.9.
+RADIUS = 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -73,39 +78,53 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, wanted) -> DataFrame:
-    """(t, members) of the documents in the table."""
+    """(t, fp, members) of the documents in the table."""
 
     def run(batches):
         for batch in batches:
             ids, x = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             keep = np.flatnonzero(in_table(wanted, slots(ids, x)))
-            t, raw = [], []
+            t, fp, raw = [], [], []
             for _, _, buf, off in chunks(batch.column(2).take(pa.array(keep))):
                 for members in shingle_sets(buf, off):
                     t.append(node(members))
+                    fp.append(fingerprint(members))
                     raw.append(members.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(raw, pa.binary())], names=["t", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(fp, pa.int64()), pa.array(raw, pa.binary())], names=["t", "fp", "members"])
+
+    return docs.select(doc_key().alias("doc"), text_key().alias("x"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "t long, fp long, members binary")
+
 
-    return docs.select(doc_key().alias("doc"), text_key().alias("x"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "t long, members binary")
+def fingerprint(members: np.ndarray) -> int:
+    """SimHash of a set of hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(members), 4096):
+        ones += np.unpackbits(members[lo : lo + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(members), bitorder="little").view(np.int64)[0])
 
 
-def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def similar(sets: list[np.ndarray], prints: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Positions that join every pair of at least this Jaccard similarity into one
     tree per component."""
     size = np.array([len(s) for s in sets])
-    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
     forest, links = Forest(len(sets)), []
-    for i, own in enumerate(sets):
-        lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
-        n = hi - lo
-        pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(owner[pick], minlength=len(sets))[:i]
-        for j in np.flatnonzero(both >= similarity * (size[i] + size[:i] - both) - 1e-9).tolist():
-            if forest.find(i) != forest.find(j):
-                forest.join(i, j)
-                links.append((i, j))
+    for i, near in sliced(prints, RADIUS):
+        own = sets[i]
+        near = near[np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i]) - 1e-9]
+        at = 0
+        while len(near):
+            root = forest.find(i)
+            near = np.array([j for j in near[at:].tolist() if forest.find(j) != root], np.int64)
+            part, at = near[:16], 16
+            if not len(part):
+                break
+            every = np.concatenate([sets[j] for j in part])
+            place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            both = np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum(size[part]) - size[part])
+            for j in part[both >= similarity * (size[i] + size[part] - both) - 1e-9].tolist():
+                if forest.find(i) != forest.find(j):
+                    forest.join(i, j)
+                    links.append((i, j))
     return links
 
 
@@ -120,25 +139,26 @@ def near_nodes(docs: DataFrame, distinct: DataFrame, similarity: float, block: i
     buckets = buckets.withColumn("mine", F.pmod(alike, F.col("many")).cast("int")).select("t", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other"))
     buckets = checkpoint(buckets.select(F.col("t").alias("t1"), F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket")))
     chosen = distinct.join(buckets.select("t1").distinct(), F.col("t") == F.col("t1"), "left_semi").select("first.doc", "first.x")
-    sets = wanted_sets(docs, bit_table(chosen)).groupBy("t").agg(F.first("members").alias("members"))
+    sets = wanted_sets(docs, bit_table(chosen)).groupBy("t").agg(F.first("fp").alias("fp"), F.first("members").alias("members"))
 
     def run(batches):
-        at, ids, sets = None, [], []
+        at, ids, prints, sets = None, [], [], []
 
         def linked():
-            found = similar(sets, similarity) if len(sets) > 1 else []
+            found = similar(sets, np.array(prints, np.int64).view(np.uint64), similarity) if len(sets) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for bucket, t, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, t, fp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at:
                     yield linked()
-                    at, ids, sets = bucket, [], []
+                    at, ids, prints, sets = bucket, [], [], []
                 ids.append(t)
+                prints.append(fp)
                 sets.append(np.frombuffer(raw, np.uint64))
         yield linked()
 
-    rows = buckets.join(sets, F.col("t1") == F.col("t")).select("bucket", "t", "members")
+    rows = buckets.join(sets, F.col("t1") == F.col("t")).select("bucket", "t", "fp", "members")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, chunks, components, doc_key, read, text_key
+from .common import SALTS, checkpoint, chunks, components, doc_key, read, text_key
 
 RADIUS = 3
 BLOCK = 2048
@@ -71,31 +71,35 @@ def within(diff, live: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Masks of the candidates with at most `radius` differing bits.
 
     diff(b, kept) gives plane b of the differences for the kept words of `live`
-    (flat masks of the candidates that count). Two carry-save counters and a
-    sticky overflow hold the distances 0 to 3 and beyond; every 8 planes, words
-    whose candidates all exceed the radius are abandoned.
+    (flat masks of the candidates that count). Carry-save counters, as many as the
+    radius has binary digits, count the differing bits of 64 candidates at once; a
+    carry out of the last one is beyond the radius for good, and so is a count above
+    it. Every 8 planes, words whose candidates all exceed the radius are abandoned.
     """
-    if radius > 3:
-        raise ValueError("the counters hold distances to 3")
     kept = np.flatnonzero(live)
     alive = live[kept]
-    low, high = np.zeros_like(alive), np.zeros_like(alive)
+    counters = [np.zeros_like(alive) for _ in range(max(1, int(radius).bit_length()))]
     for b in range(64):
-        d = diff(b, kept)
-        carry = low & d
-        low ^= d
-        over = high & carry
-        high ^= carry
-        alive &= ~over
+        carry = diff(b, kept)
+        for k, held in enumerate(counters):
+            over = held & carry
+            counters[k] = held ^ carry
+            carry = over
+        alive &= ~carry
         if b % 8 == 7:
+            above, equal = np.zeros_like(alive), ~np.zeros_like(alive)  # compare the count with the radius, highest digit first
+            for k in reversed(range(len(counters))):
+                if radius >> k & 1:
+                    equal = equal & counters[k]
+                else:
+                    above |= equal & counters[k]
+                    equal = equal & ~counters[k]
+            alive &= ~above
             stay = alive != 0
             if not stay.all():
-                kept, alive, low, high = kept[stay], alive[stay], low[stay], high[stay]
+                kept, alive, counters = kept[stay], alive[stay], [x[stay] for x in counters]
                 if not len(kept):
                     break
-    if radius < 3:
-        count_over = {0: low | high, 1: high, 2: high & low}[radius]
-        alive &= ~count_over
     out = np.zeros_like(live)
     out[kept] = alive
     return out
@@ -124,6 +128,25 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
+def sliced(v: np.ndarray, radius: int = RADIUS):
+    """(i, all j < i within the radius of i): queries against vertical planes."""
+    size = len(v)
+    planes = planes_of(v)
+    width = planes.shape[1]
+    step = max(1, (1 << 16) // max(width, 1))
+    full = np.zeros(width * 64, np.uint8)
+    full[:size] = 1
+    lanes = np.packbits(full, bitorder="little").view(np.uint64)
+    for q in range(0, size, step):
+        mine = v[q : q + step]
+        flip = np.where(np.unpackbits(mine.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T.astype(bool), ~np.uint64(0), np.uint64(0))
+        live = np.tile(lanes, len(mine))
+        hits = within(lambda b, kept: planes[b][kept % width] ^ flip[b][kept // width], live, radius).reshape(len(mine), width)
+        for i in range(len(mine)):
+            near = set_bits(hits[i])
+            yield q + i, near[near < q + i]
+
+
 def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) that join every pair of one group within the radius into
     one tree per component; `group` is sorted."""
@@ -145,23 +168,10 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tup
             live = np.packbits(full, bitorder="little").view(np.uint64)
             for k in set_bits(within(lambda b, kept: planes[b][kept] ^ further[b][kept], live, radius)):
                 forest.join(int(at[near[k]]), int(at[near[k] + r]))
-    for lo, size in zip(begins[sizes > 64], sizes[sizes > 64], strict=True):  # queries against vertical planes
-        v = fp[lo : lo + size]
-        planes = planes_of(v)
-        width = planes.shape[1]
-        step = max(1, (1 << 16) // width)
-        full = np.zeros(width * 64, np.uint8)
-        full[:size] = 1
-        lanes = np.packbits(full, bitorder="little").view(np.uint64)
-        for q in range(0, size, step):
-            mine = v[q : q + step]
-            flip = np.where(np.unpackbits(mine.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T.astype(bool), ~np.uint64(0), np.uint64(0))
-            live = np.tile(lanes, len(mine))
-            hits = within(lambda b, kept: planes[b][kept % width] ^ flip[b][kept // width], live, radius).reshape(len(mine), width)
-            for i in range(len(mine)):
-                for j in set_bits(hits[i]):
-                    if j < q + i:
-                        forest.join(int(lo + q + i), int(lo + j))
+    for lo, size in zip(begins[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        for i, near in sliced(fp[lo : lo + size], radius):
+            for j in near.tolist():
+                forest.join(lo + i, lo + j)
     roots = np.fromiter((forest.find(i) for i in range(n)), np.int64, n)
     child = np.flatnonzero(roots != np.arange(n))
     return roots[child], child
@@ -232,17 +242,9 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     prints, named = grouped(docs, radius, block)
     least = named.groupBy(F.col("root").alias("top")).agg(F.min("first.key").alias("component_id"))
     named = named.join(least, F.col("root") == F.col("top"))
-    return prints.join(named, prints.fp == named.own).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay, one document of each component, that of the
-    smallest doc_id (of one doc_id, the least hash of the text); the columns stay as
-    they are. Rows that repeat a doc_id with its text are one document and stay
-    together; rows without doc_id stay only if their component holds no other."""
-    _, named = grouped(docs.select("doc_id", "text"), radius)
-    kept = named.groupBy("root").agg(F.min("first").alias("kept")).select(F.col("kept.key").alias("kept_id"), F.col("kept.x").alias("kept_x"))
-    return docs.join(kept, (doc_key() == F.col("kept_id")) & (text_key() == F.col("kept_x")), "left_semi")
+    named = named.select("own", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # one fingerprint may stand for a third of all rows
+    meet = (F.col("fp") == F.col("own")) & (F.pmod(F.xxhash64("doc_id", "x"), F.lit(SALTS)) == F.col("salt"))
+    return prints.join(named, meet).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

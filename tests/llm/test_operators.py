@@ -82,7 +82,7 @@ def test_bit_sliced_search_equals_popcount():
     fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     for i in range(150, 300):
         fp[i] = fp[i - 150] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)))
-    for radius in (0, 1, 2, 3):
+    for radius in (0, 1, 2, 3, 4, 6, 22):
         group = np.zeros(300, np.int64)
         a, b = simhash.bucket_links(group, fp, radius)
         pairs = [(i, j) for i in range(300) for j in range(i) if bin(int(fp[i] ^ fp[j])).count("1") <= radius]
@@ -93,13 +93,6 @@ def test_bit_sliced_search_equals_popcount():
     assert reference_components(range(300), zip(a.tolist(), b.tolist(), strict=True)) == reference_components(range(300), pairs)
 
 
-def test_simhash_keeps_one_of_each_group(spark):
-    docs = frame(spark, [(1, "a b c d", "en", "s"), (2, "a b c d", "en", "s"), (3, "x y z q", "en", "s"), (None, None, None, None)])
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3]
-
-
 def five_words(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -389,14 +382,23 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_components_of_hubs(spark):
+    rng = random.Random(2)
+    edges = [(1000 + k % 7, 2000 + k) for k in range(700)] + [(1000, 5), (1003, 1004), (5000, 5001)] + [(rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(60)]
+    ids = {x for e in edges if e[0] != e[1] for x in e}
+    want = {i: c for i, c in reference_components(ids, [e for e in edges if e[0] != e[1]]).items()}
+    got = {r.id: r.component for r in common.components(spark.createDataFrame([Row(a=a, b=b) for a, b in edges]), hub=20).collect()}
+    assert got == want
+
+
 def test_texts_under_one_id_stay_apart(spark):
     """Rows without doc_id, and texts of different length under one."""
     rng = random.Random(21)
     first, other, third, leak = words(rng, 90, 5000), words(rng, 40, 5000), words(rng, 60, 5000), words(rng, 30, 5000)
     rows = [(5, first, "en", "a"), (None, first, "en", "a"), (None, other, "en", "a"), (7, third + " " + other, "en", "b"), (7, leak, "en", "b"), (8, words(rng, 25, 5000), "en", "b"), (9, third, "en", "a")]
     docs = frame(spark, rows)
-    for kept in (simhash.keep_one(docs).collect(), shingles.keep_one(docs).collect()):
-        assert len(kept) == 6 and {r.text for r in kept} == {r[1] for r in rows}
+    kept = shingles.keep_one(docs).collect()
+    assert len(kept) == 6 and {r.text for r in kept} == {r[1] for r in rows}
     for frequent in (1000, 0):
         got = {(r.doc_id, r.text): r.n_removed for r in substring.dedup_texts(docs, frequent=frequent).collect()}
         assert got == {(i, t): 90 if (i, t) == (None, first) else 40 if t == other else 60 if i == 9 else 0 for i, t, *_ in rows}
