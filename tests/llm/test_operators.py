@@ -181,7 +181,7 @@ def test_automaton_matches_substrings():
 
 def planted(spark):
     rng = random.Random(9)
-    items = [(k, words(rng, 30, 5000)) for k in range(12)] + [(90, "too short"), (91, None), (None, words(rng, 30))]
+    items = [(k, words(rng, 30, 5000)) for k in range(12)] + [(90, "too short to see"), (91, None), (None, words(rng, 30))]
     rows = []
     for k in range(12):
         leak = items[k][1].split()
