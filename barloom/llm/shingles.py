@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpoint, chunks, components, doc_key, find_words, mix, range_hash, text_key
-from .simhash import Forest, sliced
+from .simhash import sliced
 from .substring import bit_table, in_table, slots
 
 SHINGLE = 5
@@ -54,12 +54,20 @@ def node(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bands(members: np.ndarray) -> list[int]:
-    """One hash for each band of minima; none for an empty set."""
-    if not len(members):
-        return []
-    least = np.array([((members ^ m) * f).min() for m, f in zip(_MASKS, _FACTORS, strict=True)])
-    return range_hash(least, np.arange(BANDS) * ROWS, np.arange(1, BANDS + 1) * ROWS).view(np.int64).tolist()
+def bands(sets: list[np.ndarray]) -> list[list[int]]:
+    """Of each set, one hash for each band of minima; none for an empty set."""
+    found: list[list[int]] = [[] for _ in sets]
+    some = [k for k, members in enumerate(sets) if len(members)]
+    if some:
+        every = np.concatenate([sets[k] for k in some])
+        size = np.array([len(sets[k]) for k in some])
+        begin = np.cumsum(size) - size
+        least = np.stack([np.minimum.reduceat((every ^ m) * f, begin) for m, f in zip(_MASKS, _FACTORS, strict=True)], axis=1).ravel()
+        at = np.arange(len(some) * BANDS) * ROWS
+        hashed = range_hash(least, at, at + ROWS).view(np.int64).reshape(-1, BANDS)
+        for k, row in zip(some, hashed.tolist(), strict=True):
+            found[k] = row
+    return found
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -69,9 +77,9 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             t, found = [], []
             for _, _, buf, off in chunks(batch.column(2)):
-                for members in shingle_sets(buf, off):
-                    t.append(node(members))
-                    found.append(bands(members))
+                sets = shingle_sets(buf, off)
+                t += map(node, sets)
+                found += bands(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "x", "t", "bands"])
 
     return docs.select(doc_key().alias("doc"), text_key().alias("x"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc long, x long, t long, bands array<long>")
@@ -107,23 +115,18 @@ def similar(sets: list[np.ndarray], prints: np.ndarray, similarity: float) -> li
     """Positions that join every pair of at least this Jaccard similarity into one
     tree per component."""
     size = np.array([len(s) for s in sets])
-    forest, links = Forest(len(sets)), []
+    group, links = np.arange(len(sets)), []
     for i, near in sliced(prints, RADIUS):
         own = sets[i]
         near = near[np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i]) - 1e-9]
-        at = 0
-        while len(near):
-            root = forest.find(i)
-            near = np.array([j for j in near[at:].tolist() if forest.find(j) != root], np.int64)
-            part, at = near[:16], 16
-            if not len(part):
-                break
+        while len(near := near[group[near] != group[i]]):
+            part, near = near[:16], near[16:]
             every = np.concatenate([sets[j] for j in part])
             place = np.minimum(np.searchsorted(own, every), len(own) - 1)
             both = np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum(size[part]) - size[part])
             for j in part[both >= similarity * (size[i] + size[part] - both) - 1e-9].tolist():
-                if forest.find(i) != forest.find(j):
-                    forest.join(i, j)
+                if group[i] != group[j]:
+                    group[group == group[j]] = group[i]
                     links.append((i, j))
     return links
 
