@@ -65,12 +65,12 @@ def unit(rows) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
-def fit(known: DataFrame, there: int) -> tuple[np.ndarray, np.ndarray] | None:
+def fit(known: DataFrame, there: int) -> tuple[np.ndarray, np.ndarray]:
     """Coarse centres and codebooks (subspace, word, part) from a bounded sample."""
     rows = known if there <= SAMPLE_ROWS else known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(SAMPLE_ROWS / there * (1 << 30)))
     sample = rows.select("id", "vec").orderBy("id").toArrow()
-    if not len(sample):
-        return None
+    if not len(sample):  # the hash chose none of a few rows
+        sample = known.select("id", "vec").orderBy("id").limit(SAMPLE_ROWS).toArrow()
     x = unit(sample.column("vec").combine_chunks())
     centres = k_means(x, max(1, min(MOST_LISTS, there // LIST_ROWS, len(x) // 4)))
     rest = x - centres[nearest(x, centres, 1)[:, 0]]
@@ -158,22 +158,9 @@ def link_block(table: pa.Table, model, cosine: float) -> pa.Table:
     return pa.table({"a": pa.array(np.r_[np.array(ends[0], np.int64), ids]), "b": pa.array([*map(int, ends[1]), *[None] * len(ids)], pa.int64()), "n": pa.array(np.r_[np.zeros(len(ends[0]), np.int64), n])})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding).
-
-    Rows without a usable vector (null, zero, null or non-finite components, or
-    another length than most) link with nothing. Equal vectors link with each
-    other. Found links have a cosine of `cosine` or more; lists that a vector
-    does not probe may hide some. Repeated rows count as rows of their own; an
-    empty table gives no rows.
-    """
-    known = checkpoint(usable(vectors))
-    lengths = known.groupBy(F.size("vec").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
-    same = known.where(F.size("vec") == (lengths["length"] if lengths else 0))
-    model = fit(same, lengths["n"]) if lengths else None
-    ids = vectors.select("vec_id", F.transform(F.col("embedding"), lambda v: v.cast("double")).alias("vec"))
-    if model is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+def linked(same: DataFrame, there: int, cosine: float) -> DataFrame:
+    """(a, b, n) of link_block for vectors of one length."""
+    model = fit(same, there)
     index = checkpoint(coded(same, model))
     lists = index.groupBy(F.col("list").alias("l")).agg(F.ceil(F.count("*") / CODE_BLOCK).cast("int").alias("code_blocks"))
     asked = index.select(F.explode("probes").alias("q")).groupBy("q").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
@@ -186,9 +173,28 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     others = F.when(is_code, F.col("query_blocks")).otherwise(F.col("code_blocks"))
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     dealt = dealt.withColumn("block", F.when(is_code, F.struct(F.col("mine").alias("c"), F.col("other").alias("q"))).otherwise(F.struct(F.col("other").alias("c"), F.col("mine").alias("q"))))
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    shared = same.sparkSession.sparkContext.broadcast(model)
     dealt = dealt.select("role", "list", "home", "id", "copies", "vec", "probes", "code", "error", F.col("block.c").alias("c"), F.col("block.q").alias("q"))
-    found = checkpoint(dealt.groupBy("list", "c", "q").applyInArrow(lambda t: link_block(t, shared.value, cosine), "a long, b long, n long"))
+    return checkpoint(dealt.groupBy("list", "c", "q").applyInArrow(lambda t: link_block(t, shared.value, cosine), "a long, b long, n long"))
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding).
+
+    Rows without a usable vector (null, zero, null or non-finite components) link with
+    nothing; vectors of different length never link. Equal vectors link with each
+    other. Found links have a cosine of `cosine` or more; lists that a vector
+    does not probe may hide some. Repeated rows count as rows of their own; an
+    empty table gives no rows.
+    """
+    known = checkpoint(usable(vectors))
+    ids = vectors.select("vec_id", F.transform(F.col("embedding"), lambda v: v.cast("double")).alias("vec"))
+    found = None
+    for row in known.groupBy(F.size("vec").alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect():  # each length is an index of its own
+        part = linked(known.where(F.size("vec") == row["length"]), row["n"], cosine)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     groups = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("counted")).agg(F.sum("n").alias("n"))
     named = known.join(groups, "id", "left").join(counts, F.col("id") == F.col("counted"), "left")

@@ -14,14 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, doc_key, fold, find_words, read
-from .linear import sample
+from .common import checkpoint, chunks, doc_key, fold, find_words, read
 
 #: Training rows of one language, about; and the table's bits.
 SAMPLE_ROWS = 4000
 TABLE_BITS = 16
-#: Languages that may take part in one mixture, and steps of each fit.
-LARGEST_SET = 3
+#: Steps of each fit.
 STEPS = 6
 #: Penalty of one more language, in units of log(words) / 2 (BIC).
 PENALTY = 2.0
@@ -53,10 +51,12 @@ def fit(docs: DataFrame, bound: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarra
     """Languages in order of name, and log-likelihoods (slot, language)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 3) != 1))
     rows = rows.select(doc_key().alias("key"), F.col("lang").cast("string").alias("lang"), "text")
-    kinds = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    there = checkpoint(rows.groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("n")))
+    kinds = [r[0] for r in there.select("kind").orderBy("kind").collect()]  # one name for each column of the table
     if not kinds:
         return [], np.zeros((1 << TABLE_BITS, 0))
-    rows = sample(rows, bound * len(kinds), "lang")
+    spread = 1 << 30
+    rows = rows.join(F.broadcast(there), F.col("lang") == F.col("kind")).where(F.pmod(F.xxhash64("key", F.lit("lang")), F.lit(spread)) < F.lit(bound) / F.col("n") * spread)
 
     def run(batches):
         count: dict[str, np.ndarray] = {}
@@ -109,22 +109,22 @@ def mixtures(likelihood: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     single = np.stack([np.add.reduceat(np.log(np.maximum(x, 1e-30)), begin) for x in p])
     value = np.take_along_axis(single, order[:1], axis=0)[0]
     best[there], share[there] = order[0], 1.0
-    # the full set's likelihood bounds that of any set: most texts are settled here
-    left = np.flatnonzero(most - price > value)
-    if len(left):
+    # the full set's likelihood bounds that of any set: most texts are settled here,
+    # and a text tries no set whose price is above that bound
+    for size in range(2, kinds + 1):
+        left = np.flatnonzero(most - price * (size - 1) > value)
+        if not len(left):
+            break
         words = np.repeat(np.isin(np.arange(len(there)), left), count)
-        p, count = [x[words] for x in p], count[left]
-        begin = np.cumsum(count) - count
-        order, value, price = order[:, left], value[left], price[left]
-        for size in range(2, min(LARGEST_SET, kinds) + 1):
-            allowed = np.zeros((kinds, len(left)), np.float32)
-            np.put_along_axis(allowed, order[:size], 1.0, axis=0)
-            pi, fits = em(p, begin, count, allowed)
-            fits = fits - price * (size - 1)
-            better = fits > value
-            value = np.maximum(value, fits)
-            best[there[left[better]]] = pi[:, better].argmax(axis=0)
-            share[there[left[better]]] = pi[:, better].max(axis=0)
+        begin = np.cumsum(count[left]) - count[left]
+        allowed = np.zeros((kinds, len(left)), np.float32)
+        np.put_along_axis(allowed, order[:size, left], 1.0, axis=0)
+        pi, fits = em([x[words] for x in p], begin, count[left], allowed)
+        fits = fits - price[left] * (size - 1)
+        better = fits > value[left]
+        value[left[better]] = fits[better]
+        best[there[left[better]]] = pi[:, better].argmax(axis=0)
+        share[there[left[better]]] = pi[:, better].max(axis=0)
     return best, share
 
 
@@ -134,8 +134,9 @@ def languages(docs: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
     Learns from text and non-null lang of the rows outside the held-out fold
     (a bounded sample); only text is an input of a prediction. Null text, or
     none of its characters a letter, or nothing to learn from: 'und', score 0.
-    Text with letters but no n-gram of the tables' scripts still gets a learned
-    language. Repeated rows give repeated results; an empty table gives no rows.
+    The score is the language's share times that of the words which the mixture
+    explains better than chance, so text in no learned script still gets a learned
+    language, with a score near 0. A set may hold any number of languages. Repeated rows give repeated results; an empty table gives no rows.
     """
     kinds, table = fit(docs, bound)
     shared = docs.sparkSession.sparkContext.broadcast((kinds, table))
@@ -149,10 +150,14 @@ def languages(docs: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
                 first, begin, slot = word_trigrams(buf, off)
                 if not len(slot) or not names:
                     continue
-                best, share = mixtures(np.ascontiguousarray(np.add.reduceat(logs[slot], begin, axis=0).T), first)
+                likelihood = np.ascontiguousarray(np.add.reduceat(logs[slot], begin, axis=0).T)
+                best, share = mixtures(likelihood, first)
+                chance = np.diff(np.r_[begin, len(slot)]) * np.log(1 / (1 << TABLE_BITS))
+                told = np.r_[0, np.cumsum(likelihood.max(axis=0) > chance)]
+                share = share * (told[first[1:]] - told[first[:-1]]) / np.maximum(np.diff(first), 1)
                 for i in np.flatnonzero((best >= 0) & letters[lo:hi]):
                     pred[lo + i], score[lo + i] = names[best[i]], share[i]
-            bare = np.flatnonzero(letters & (score == 0)) if names else []
+            bare = np.flatnonzero(letters & (pred == "und")) if names else []
             for i in bare:
                 pred[i], score[i] = names[0], 1 / len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(pred.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "held_out", "lang_pred", "score"])

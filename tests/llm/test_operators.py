@@ -249,6 +249,44 @@ def test_em_names_the_larger_share():
     assert best.tolist() == [-1, 0] and 0.6 < share[1] < 0.75
 
 
+def test_a_mixture_may_hold_any_number_of_languages():
+    like = np.full((5, 500), -20.0)
+    for k in range(5):
+        like[k, 100 * k : 100 * k + 100 + (20 if k == 2 else 0)] = -2.0
+    best, share = langid.mixtures(like, np.array([0, 500]))
+    assert best.tolist() == [2] and 0.18 < share[0] < 0.26
+
+
+def test_rare_languages_are_learned_and_unknown_scripts_are_not_certain(spark):
+    rng = random.Random(15)
+    say = lambda stems: " ".join(rng.choice(stems) + rng.choice(stems) for _ in range(40))
+    common_, rare = ["ka", "lo", "mi", "tu"], ["xe", "qy", "zo", "jw"]
+    rows = [(i, say(common_), "aa", "s") for i in range(3000)] + [(5000 + i, say(rare), "bb", "s") for i in range(12)] + [(9000, "не знаю этого языка совсем", None, "s"), (9001, "123 !", None, "s")]
+    table = frame(spark, rows).selectExpr("*", "1 as key", "'k' as held_out", "2.0 as score", "'z' as kind")
+    got = {r.doc_id: r for r in langid.languages(table, bound=50).collect()}
+    assert all(got[5000 + i].lang_pred == "bb" for i in range(12)) and sum(got[i].lang_pred == "aa" for i in range(3000)) == 3000
+    assert got[9000].lang_pred in ("aa", "bb") and got[9000].score < 0.3 < 0.9 < got[1].score and got[9001].lang_pred == "und"
+
+
+def test_embeddings_of_every_length_link(spark):
+    rows = [(i, [float(i % 5 == k) for k in range(4)]) for i in range(10)] + [(100, [1.0, 0.0, 0.0]), (101, [1.0, 0.01, 0.0]), (102, [0.0, 0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[100] == (1, 100, True) and got[101] == (1, 100, False) and got[102] == (0, 102, True) and got[5] == (1, 0, False) and got[4] == (0, 4, True)
+
+
+def test_embeddings_recall_with_most_lists_unprobed(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 20)
+    rng = np.random.default_rng(14)
+    middle = rng.normal(size=(300, 32))
+    x = np.repeat(middle, 8, axis=0) + rng.normal(scale=0.2, size=(2400, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum() - len(x)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    model = embeddings.fit(embeddings.usable(table), len(x))
+    assert len(model[0]) >= 64
+    assert 0.9 * true <= sum(r.n_links for r in embeddings.near_vectors(table).collect()) <= true
+
+
 def test_isotonic_is_monotone_and_ordered():
     x, v = quality.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert (np.diff(x) >= 0).all() and (np.diff(v) >= 0).all() and 0 < v[0] < v[-1] < 1
