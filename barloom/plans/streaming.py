@@ -14,30 +14,29 @@ ORACLE_SQL: dict = {}
 def events(spark, sf_dir) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = jobs.source(spark, f"{sf_dir}/events.parquet", schema)
-    return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).alias("code"), "value", "event_type")
+    return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("code"), "value", "event_type")
 
 
 def st_bars(spark, sf_dir) -> DataFrame:
     """Complete mode, so that the last days count too once the source is drained."""
-    out = jobs.drain(jobs.daily_bars(events(spark, sf_dir)), "complete")
+    out = jobs.drain(jobs.daily_bars(events(spark, sf_dir)), scratch(spark, "bars"), "complete")
     return out.withColumn("start", F.col("start").cast("date"))
 
 
 def st_news_dedupe(spark, sf_dir) -> DataFrame:
-    out = jobs.drain(jobs.dedupe(events(spark, sf_dir).select("event_type", "code", "ts"), ["event_type", "code"]))
+    out = jobs.drain(jobs.dedupe(events(spark, sf_dir).select("event_type", "code", "ts"), ["event_type", "code"]), scratch(spark, "dedupe"))
     return out.select("event_type", "code")
 
 
 QUERIES["st_bars"] = st_bars
-ORACLE_SQL["st_bars"] = "select ts::date as start, user_id % 20 as code, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(*) as n, sum(value::decimal(18,2))::double as volume from events group by all"
+ORACLE_SQL["st_bars"] = "select ts::date as start, user_id as code, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(*) as n, sum(value::decimal(18,2))::double as volume from events group by all"
 QUERIES["st_news_dedupe"] = st_news_dedupe
-ORACLE_SQL["st_news_dedupe"] = "select distinct event_type, user_id % 20 as code from events"
+ORACLE_SQL["st_news_dedupe"] = "select distinct event_type, user_id as code from events"
 
 
 def st_flow_upsert(spark, sf_dir) -> DataFrame:
     path = scratch(spark, "upsert")
-    jobs.upsert_latest(events(spark, sf_dir).select("code", "event_type", "event_id", "value"), ["code", "event_type"], "event_id", path)
-    return spark.read.parquet(f"{path}/v0")
+    return jobs.upsert_latest(events(spark, sf_dir).select("code", "event_type", "event_id", "value"), ["code", "event_type"], "event_id", path)
 
 
 def st_resume(spark, sf_dir) -> DataFrame:
@@ -57,7 +56,7 @@ def st_streak(spark, sf_dir) -> DataFrame:
 
 
 QUERIES |= {"st_flow_upsert": st_flow_upsert, "st_resume": st_resume, "st_streak": st_streak}
-ORACLE_SQL["st_flow_upsert"] = "select user_id % 20 as code, event_type, max(event_id) as event_id, max_by(value, event_id) as value from events group by all"
-ORACLE_SQL["st_resume"] = "select user_id % 20 as code, count(*) as n, count(distinct event_id) as ids from events group by 1"
+ORACLE_SQL["st_flow_upsert"] = "select user_id as code, event_type, max(event_id) as event_id, max_by(value, event_id) as value from events group by all"
+ORACLE_SQL["st_resume"] = "select user_id as code, count(*) as n, count(distinct event_id) as ids from events group by 1"
 ORACLE_SQL["st_streak"] = """select code, event_id, case when flag then k - coalesce(max(case when not flag then k end) over (partition by code order by k rows unbounded preceding), 0) else 0 end::int as streak
-from (select user_id % 20 as code, event_id, value > 5 as flag, row_number() over (partition by user_id % 20 order by ts, event_id) as k from events)"""
+from (select user_id as code, event_id, value > 5 as flag, row_number() over (partition by user_id order by ts, event_id) as k from events)"""

@@ -52,10 +52,10 @@ WORDS = {"policy": ["the", "General"], "global": ["de la", "les"], "event": ["to
 def news(spark, sf_dir) -> DataFrame:
     docs, events = T(spark, sf_dir, "documents"), T(spark, sf_dir, "events")
     rows = docs.join(events.select("event_id", "ts"), docs.doc_id == events.event_id)
-    return rows.select("doc_id", F.col("lang").alias("category"), F.col("ts").alias("time"), F.left("text", F.lit(40)).alias("title"), F.left("text", F.when(F.col("doc_id") % 3 == 0, 40).otherwise(220)).alias("summary"), "source")
+    return rows.select("doc_id", F.col("lang").alias("category"), F.col("ts").alias("time"), F.left("text", F.lit(40)).alias("title"), F.col("text").alias("summary"), "source")
 
 
-NEWS = "news as (select doc_id, lang as category, ts as time, left(text, 40) as title, left(text, case when doc_id % 3 = 0 then 40 else 220 end) as summary, source from documents join events on doc_id = event_id)"
+NEWS = "news as (select doc_id, lang as category, ts as time, left(text, 40) as title, text as summary, source from documents join events on doc_id = event_id)"
 _tag = ", ".join(f"case when regexp_matches(title || summary, '{'|'.join(w)}') then '{t}' end" for t, w in WORDS.items())
 TAGGED = f"{NEWS},\ntagged as (select *, case when len(f) > 0 then f else [category] end as tags from (select *, list_filter([{_tag}], lambda x: x is not null) as f from news))"
 

@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; only where
-    that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is
+    unset, a local master (tests) gets a local one; a cluster is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

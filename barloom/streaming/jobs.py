@@ -1,27 +1,45 @@
-"""Incremental twins of batch jobs on Structured Streaming."""
+"""Incremental twins of batch jobs on Structured Streaming.
+
+Results and state are files: every batch writes a version v<epoch> of its own from
+the last complete version below it, so a job that starts anew on the same folder
+goes on where the last one stopped, and a replayed batch changes nothing.
+"""
 
 from __future__ import annotations
 
-import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 
+def last_version(spark: SparkSession, path: str, below: int | None = None) -> str | None:
+    """The newest complete version under path (of an epoch less than `below`)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    names = [x.getPath().getName() for x in files.listStatus(folder)]
+    epochs = sorted((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), reverse=True)
+    done = (e for e in epochs if (below is None or e < below) and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{e}/_SUCCESS")))
+    return next((f"{path}/v{e}" for e in done), None)
+
+
 def source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A stream over the files of a folder (or one file)."""
     head, _, tail = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", tail).parquet(head)
 
 
-def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return its result table."""
+def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and return its result table, kept as
+    files under path: appended rows, or the last complete result."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return spark.table(name)
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", f"{path}/rows")
+    else:
+        writer = stream.writeStream.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/v{epoch}"))
+    writer.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
+    found = f"{path}/rows" if mode == "append" else last_version(spark, path)
+    return spark.read.schema(stream.schema).parquet(found) if found else spark.createDataFrame([], stream.schema)
 
 
 def daily_bars(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -37,23 +55,20 @@ def dedupe(items: DataFrame, keys: list[str], late: str = "60 days") -> DataFram
     return items.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_latest(stream: DataFrame, keys: list[str], order: str, path: str) -> None:
-    """Each batch is merged into the table at path: the latest row per key wins, and
-    every batch writes a new version, so a replayed batch changes nothing."""
+def upsert_latest(stream: DataFrame, keys: list[str], order: str, path: str) -> DataFrame:
+    """Each batch is merged into the table at path: the latest row per key wins.
+    Returns the newest version."""
     spark = stream.sparkSession
-    versions: list[str] = []
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch
-        if versions:
-            rows = spark.read.parquet(versions[-1]).unionByName(batch)
-        names = batch.columns
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("_r")).select("_r.*")
-        target = f"{path}/v{epoch}"
-        best.write.mode("overwrite").parquet(target)
-        versions.append(target)
+        before = last_version(spark, path, epoch)
+        rows = spark.read.parquet(before).unionByName(batch) if before else batch
+        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+        best.write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{path}/_checkpoint").start().awaitTermination()
+    found = last_version(spark, path)
+    return spark.read.parquet(found) if found else spark.createDataFrame([], stream.schema)
 
 
 def streak_batches(events: DataFrame, path: str) -> DataFrame:
@@ -61,21 +76,20 @@ def streak_batches(events: DataFrame, path: str) -> DataFrame:
     table of the last run per code, replaced with every batch; a batch's own runs
     are gaps and islands in one window. Batches arrive in order of time."""
     spark = events.sparkSession
-    state: list[str] = []
 
     def step(batch: DataFrame, epoch: int) -> None:
         w = Window.partitionBy("code").orderBy("ts", "event_id")
         rows = batch.withColumn("k", F.row_number().over(w))
         off = F.max(F.when(~F.col("flag"), F.col("k"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn("off", off)
-        before = spark.read.parquet(state[-1]) if state else spark.createDataFrame([], "code long, run int")
+        held = last_version(spark, f"{path}/state", epoch)
+        before = spark.read.parquet(held) if held else spark.createDataFrame([], "code long, run int")
         rows = rows.join(before, "code", "left")
         run = F.when(~F.col("flag"), 0).when(F.col("off").isNotNull(), F.col("k") - F.col("off")).otherwise(F.col("k") + F.coalesce("run", F.lit(0)))
         rows.select("code", "event_id", "ts", run.cast("int").alias("streak")).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
         done = spark.read.parquet(f"{path}/out/epoch={epoch}").groupBy("code").agg(F.max_by("streak", F.struct("ts", "event_id")).alias("run"))
         kept = done.unionByName(before.join(done, "code", "left_anti"))
         kept.write.mode("overwrite").parquet(f"{path}/state/v{epoch}")
-        state.append(f"{path}/state/v{epoch}")
 
     events.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("code", "event_id", "streak")

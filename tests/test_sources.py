@@ -75,3 +75,26 @@ def test_upsert_keeps_the_latest_over_batches(spark, tmp_path):
     jobs.upsert_latest(stream, ["code"], "seq", f"{tmp_path}/out")
     got = {r.code: r.value for r in spark.read.parquet(f"{tmp_path}/out/v2").collect()}
     assert got == {1: 2.0, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    """Each file is drained by a stream object of its own: state comes from disk."""
+    start = datetime.datetime(2026, 1, 5)
+    flags, got, latest = [1, 1, 0, 1, 1, 1], {}, {}
+    for k in range(3):
+        rows = [(1, i, start + datetime.timedelta(minutes=i), bool(flags[i])) for i in range(2 * k, 2 * k + 2)]
+        spark.createDataFrame(rows, "code long, event_id long, ts timestamp, flag boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/a")
+        spark.createDataFrame([(1, k, float(k)), (k + 2, 0, 1.0)], "code long, seq long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+        runs = spark.readStream.schema("code long, event_id long, ts timestamp, flag boolean").parquet(f"{tmp_path}/a")
+        got = {r.event_id: r.streak for r in jobs.streak_batches(runs, f"{tmp_path}/runs").collect()}
+        rows = spark.readStream.schema("code long, seq long, value double").parquet(f"{tmp_path}/b")
+        latest = {r.code: r.value for r in jobs.upsert_latest(rows, ["code"], "seq", f"{tmp_path}/latest").collect()}
+    assert [got[i] for i in range(6)] == [1, 2, 0, 1, 2, 3]
+    assert latest == {1: 2.0, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
+def test_drained_results_are_files(spark, tmp_path):
+    spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0)], "code long, value double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("code long, value double").parquet(f"{tmp_path}/in")
+    assert jobs.drain(stream, f"{tmp_path}/rows").count() == 3
+    assert {(r.code, r["count"]) for r in jobs.drain(stream.groupBy("code").count(), f"{tmp_path}/sums", "complete").collect()} == {(1, 2), (2, 1)}
