@@ -123,10 +123,12 @@ def components(edges: DataFrame, rounds: int = 60, hub: int = HUB) -> DataFrame:
     labels of hubs (a thousandth of all links and more, two thousand ids at most)
     are broadcast, and labels that many ids share are met by salt. Self links,
     repeated links and links in both directions are fine; an empty table gives no
-    rows.
+    rows. Links are evaluated once for both directions, as a second evaluation of a
+    search may pick other links of the same component.
     """
-    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src != dst")
-    both = checkpoint(both.union(both.select("dst", "src")).distinct())
+    there, back = F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
+    both = edges.where("a != b").select(F.explode(F.array(there, back)).alias("link")).select("link.*")
+    both = checkpoint(both.distinct())
     degree = both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("component"), F.count("*").alias("n"))
     known = checkpoint(degree.select(F.col("src").alias("id"), "component", "n"))
     most = max(hub, (known.agg(F.sum("n")).first()[0] or 0) // 1000)

@@ -132,7 +132,8 @@ def similar(sets: list[np.ndarray], prints: np.ndarray, similarity: float) -> li
 
 
 def near_nodes(docs: DataFrame, distinct: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links (a, b) between nodes."""
+    """Links (a, b) between nodes: a tree per component of each bucket. Buckets are
+    sorted by node: a lost task that runs again gives the same links."""
     dealt = checkpoint(distinct.select("t", F.posexplode("bands").alias("k", "band")).select("t", F.xxhash64("k", "band").alias("key")))
     alike = F.xxhash64("t", F.lit(1))
     shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(alike).alias("p"), F.bit_xor(F.xxhash64("t", F.lit(2))).alias("q")).where("n > 1")
@@ -162,7 +163,7 @@ def near_nodes(docs: DataFrame, distinct: DataFrame, similarity: float, block: i
         yield linked()
 
     rows = buckets.join(sets, F.col("t1") == F.col("t")).select("bucket", "t", "fp", "members")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "t").mapInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:

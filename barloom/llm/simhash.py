@@ -180,7 +180,8 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tup
 def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the ids of distinct fingerprints (id, fp) within the
     radius: a tree per component of each bucket, so components are whole while
-    no group emits all its pairs."""
+    no group emits all its pairs. Buckets are sorted by id: a lost task that runs
+    again gives the same links."""
     keys = []
     for i in range(4):
         own = F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
@@ -217,7 +218,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
         both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return pairs.select("bucket", "id", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return pairs.select("bucket", "id", "fp").repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

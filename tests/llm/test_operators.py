@@ -2,10 +2,12 @@
 
 import hashlib
 import html
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import Row
@@ -420,6 +422,20 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_components_of_links_that_change_with_each_evaluation(spark):
+    def stars(batches):
+        for batch in batches:
+            for group in batch.column(0).to_pylist():
+                members = [100 * group + i for i in range(40)]
+                middle = members[int.from_bytes(os.urandom(2), "big") % 40]
+                ends = [m for m in members if m != middle]
+                yield pa.RecordBatch.from_arrays([pa.array([middle] * 39), pa.array(ends)], names=["a", "b"])
+
+    links = spark.range(50).mapInArrow(stars, "a long, b long")
+    got = {r.id: r.component for r in common.components(links).collect()}
+    assert got == {100 * g + i: 100 * g for g in range(50) for i in range(40)}
+
+
 def test_components_of_hubs(spark):
     rng = random.Random(2)
     edges = [(1000 + k % 7, 2000 + k) for k in range(700)] + [(1000, 5), (1003, 1004), (5000, 5001)] + [(rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(60)]
