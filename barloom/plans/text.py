@@ -88,167 +88,3 @@ def _popular(spark, sf_dir) -> DataFrame:
     rows = news(spark, sf_dir)
     top = rows.select("category", "source").distinct().withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("source"))).where("r <= 3").drop("r")
     return rows.join(top, ["category", "source"]).groupBy("category").agg(F.count("*").alias("n"))
-
-
-# --- disclosures: one text per order ------------------------------------------------
-Y, A, P = "(year(o_orderdate) + 10)", "floor(o_totalprice / 1000)::bigint", "(o_orderkey % 40 + 1)"
-BODY = {0: f"{Y} || '年净利润不低于' || {A} || '亿元。'", 1: f"'公司' || {Y} || '年营业收入相比考核基数增长不低于' || {P} || '%。'", 2: f"'以' || {A} || '万元为基数，' || {Y} || '年净利润增长率不低于' || {P} || '%。'", 3: f"'业绩考核目标：第一个行权期' || {Y} || '年' || {P} || '%' || {P} || '.5%。'", 4: "'公司已实现小批量供货，已送样。子公司层面业绩考核目标'", 5: "'框架协议签署，尚未量产，处于中试阶段；产能爬坡中，正式订单，框架协议'"}
-DOCS = f"disc as (select o_orderkey as doc_id, o_custkey as code, o_orderdate::date as date, o_orderkey % 6 as k, {Y} as y, {A} as a, {P} as p, case o_orderkey % 6 {' '.join(f'when {k} then {b}' for k, b in BODY.items())} end as text from orders)"
-
-
-def disclosures(spark, sf_dir) -> DataFrame:
-    y, a, p = (F.year("o_orderdate") + 10).cast("string"), F.floor(F.col("o_totalprice") / 1000).cast("string"), (F.col("o_orderkey") % 40 + 1).cast("string")
-    L = F.lit
-    bodies = (
-        F.concat(y, L("年净利润不低于"), a, L("亿元。")), F.concat(L("公司"), y, L("年营业收入相比考核基数增长不低于"), p, L("%。")), F.concat(L("以"), a, L("万元为基数，"), y, L("年净利润增长率不低于"), p, L("%。")),
-        F.concat(L("业绩考核目标：第一个行权期"), y, L("年"), p, L("%"), p, L(".5%。")), L("公司已实现小批量供货，已送样。子公司层面业绩考核目标"), L("框架协议签署，尚未量产，处于中试阶段；产能爬坡中，正式订单，框架协议"),
-    )
-    return T(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("code"), F.col("o_orderdate").cast("date").alias("date"), F.element_at(F.array(*bodies), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("text"))
-
-
-FOUND = f"""{DOCS},
-found as (select doc_id, 'abs' as kind, y::int as year, '净利润' as metric_raw, a::double as value, '亿元' as unit from disc where k = 0
-  union all select doc_id, 'rel_named', y::int, '营业收入', p::double, '%' from disc where k = 1
-  union all select doc_id, unnest(['base_growth', 'bare_growth']), y::int, '净利润', p::double, '%' from disc where k = 2)"""
-add("target_extract", lambda s, d: tx.targets(disclosures(s, d)), "select * from found", FOUND)
-add("target_matrix", lambda s, d: tx.target_matrix(disclosures(s, d)), "select doc_id, '第一个行权期' as label, y::int as year, unnest([1, 2]) as tier, unnest([p, p + 0.5])::double as value from disc where k = 3", DOCS)
-add("target_dedupe", lambda s, d: tx.target_dedupe(tx.targets(disclosures(s, d))), "select *, case metric_raw when '净利润' then 'net profit' else 'revenue' end as metric from found where kind != 'bare_growth'", FOUND)
-add("target_scope", lambda s, d: disclosures(s, d).select("doc_id", tx.scope(F.col("text")).alias("scope")), "select doc_id, case when k = 4 then 'subsidiary' else 'company' end as scope from disc", DOCS)
-add("milestone_grade", lambda s, d: disclosures(s, d).select("doc_id", tx.stage(F.col("text")).alias("level"), tx.stage_name(tx.stage(F.col("text"))).alias("stage")), "select doc_id, case k when 4 then 3 when 5 then 4 else 0 end as level, case k when 4 then 'small batch' when 5 then 'mass production' else 'unknown' end as stage from disc", DOCS)
-add("milestone_sentence", lambda s, d: disclosures(s, d).select("doc_id", tx.sentence(F.col("text"), "供货", 6).alias("said")), "select doc_id, case when k = 4 then '已实现小批量供货，已送样' else '' end as said from disc", DOCS)
-add("trap_counts", lambda s, d: disclosures(s, d).select("doc_id", tx.traps(F.col("text")).alias("t")).select("doc_id", F.col("t")["framework"].alias("framework"), F.col("t")["firm"].alias("firm"), F.col("t")["intent"].alias("intent")), "select doc_id, case when k = 5 then 2 else 0 end as framework, case when k = 5 then 1 else 0 end as firm, 0 as intent from disc", DOCS)
-add("milestone_latest", lambda s, d: tx.latest_evidence(disclosures(s, d).select("code", "date", tx.stage(F.col("text")).alias("level")).where("level > 0")), "select code, max(date) as date, max_by(level, (date, level)) as level, count(*) as n from (select code, date, case k when 4 then 3 when 5 then 4 else 0 end as level from disc) where level > 0 group by code", DOCS)
-add("answer_side", lambda s, d: tx.answers(T(s, d, "conversations")).groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last")), "select conv_id, count(*) as n, max(turn) as last from conversations where role = 'assistant' and length(trim(coalesce(text, ''))) > 0 group by conv_id")
-add("coverage_report", lambda s, d: _coverage(s, d), "select coalesce(path, 'all') as path, count(*) as total, count(*) filter (hit) as extracted, round(count(*) filter (hit) * 100.0::double / count(*), 2) as rate from (select case when k <= 2 then 'regex' when k = 3 then 'matrix' else 'none' end as path, k <= 3 as hit from disc) group by grouping sets ((path), ())", DOCS)
-
-
-def _coverage(spark, sf_dir) -> DataFrame:
-    docs = disclosures(spark, sf_dir)
-    by = tx.targets(docs).select("doc_id", F.lit("regex").alias("path")).union(tx.target_matrix(docs).select("doc_id", F.lit("matrix"))).distinct()
-    rows = docs.select("doc_id").join(by, "doc_id", "left").withColumn("path", F.coalesce("path", F.lit("none")))
-    hit = F.count_if(F.col("path") != "none")
-    return rows.groupingSets([["path"], []], "path").agg(F.count("*").alias("total"), hit.alias("extracted"), F.round(hit * 100.0 / F.count("*"), 2).alias("rate")).select(F.coalesce("path", F.lit("all")).alias("path"), "total", "extracted", "rate")
-
-
-# --- fundamentals and scores ----------------------------------------------------------
-FIN = """fin as (select *, (rev / lag(rev, 4) over (partition by code order by q) - 1) * 100 as yoy from
-  (select l_suppkey as code, date_trunc('quarter', l_shipdate)::date as q, sum(l_extendedprice::decimal(18,2))::double as rev from lineitem group by all)),
-eps as (select code, year(q)::int as year, sum(rev) as eps from fin group by all)"""
-
-
-def financials(spark, sf_dir) -> DataFrame:
-    rows = T(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code"), F.date_trunc("quarter", "l_shipdate").cast("date").alias("q")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("rev"))
-    return rows.withColumn("yoy", (F.col("rev") / F.lag("rev", 4).over(Window.partitionBy("code").orderBy("q")) - 1) * 100)
-
-
-def sue(fin: DataFrame, least: int = 6) -> DataFrame:
-    """(code, sue): z of the latest yoy against the code's own earlier ones."""
-    rows = fin.where("yoy is not null").withColumn("_r", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("q"))))
-    past = F.when(F.col("_r") > 1, F.col("yoy"))
-    out = rows.groupBy("code").agg(F.count("*").alias("n"), F.max(F.when(F.col("_r") == 1, F.col("yoy"))).alias("last"), F.avg(past).alias("m"), F.stddev_samp(past).alias("sd"))
-    return out.where((F.col("n") >= least) & (F.col("sd") > 0)).select("code", ((F.col("last") - F.col("m")) / F.col("sd")).alias("sue"))
-
-
-def tightness(fin: DataFrame, implied) -> DataFrame:
-    """(code, tightness): the implied growth against the mean of the last two yoy."""
-    rows = fin.where("yoy is not null").withColumn("_r", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("q")))).where("_r <= 2")
-    avg = rows.groupBy("code").agg((F.avg("yoy") / 100).alias("a"))
-    g = implied
-    return avg.select("code", F.when(g > F.col("a") * 1.15, "above").when(g < F.col("a") * 0.75, "below").otherwise("near").alias("tightness"))
-
-
-SUE = "sue as (select code, (last - m) / sd as sue from (select code, count(*) as n, max(yoy) filter (r = 1) as last, avg(yoy) filter (r > 1) as m, stddev_samp(yoy) filter (r > 1) as sd from (select *, row_number() over (partition by code order by q desc) as r from fin where yoy is not null) group by code) where n >= 6 and sd > 0)"
-TIGHT = "tight as (select code, case when 0.1 > a * 1.15 then 'above' when 0.1 < a * 0.75 then 'below' else 'near' end as tightness from (select code, avg(yoy) / 100 as a from (select *, row_number() over (partition by code order by q desc) as r from fin where yoy is not null) where r <= 2 group by code))"
-add("sue_proxy", lambda s, d: sue(financials(s, d)).select("code", F.round("sue", 6).alias("sue")), "select code, round(sue, 6) as sue from sue", f"{FIN},\n{SUE}")
-add("tightness", lambda s, d: tightness(financials(s, d), F.lit(0.1)), "select * from tight", f"{FIN},\n{TIGHT}")
-
-
-def consensus(spark, sf_dir) -> DataFrame:
-    """One row per code with YEAR1..4 and EPS1..4, as the source lays it out."""
-    eps = financials(spark, sf_dir).groupBy("code", F.year("q").alias("year")).agg(F.sum("rev").alias("eps"))
-    rows = eps.where("year between 1997 and 2000").groupBy("code").pivot("year", [1997, 1998, 1999, 2000]).agg(F.first("eps"))
-    return rows.select("code", *[x for i, y in enumerate((1997, 1998, 1999, 2000), 1) for x in (F.lit(y).alias(f"YEAR{i}"), F.col(str(y)).alias(f"EPS{i}"))])
-
-
-def unpivoted(wide: DataFrame) -> DataFrame:
-    return wide.select("code", F.explode(F.arrays_zip(F.array(*[f"YEAR{i}" for i in range(1, 5)]).alias("year"), F.array(*[f"EPS{i}" for i in range(1, 5)]).alias("eps"))).alias("x")).select("code", "x.year", "x.eps").where("year is not null and eps is not null")
-
-
-def consensus_growth(wide: DataFrame, year: int) -> DataFrame:
-    now, before = (F.max(F.when(F.col("year") == y, F.col("eps"))) for y in (year, year - 1))
-    return unpivoted(wide).groupBy("code").agg(now.alias("a"), before.alias("b")).where("a is not null and b is not null and b != 0").select("code", ((F.col("a") - F.col("b")) / F.abs("b")).alias("growth"))
-
-
-GROWTH = "growth as (select code, (a - b) / abs(b) as growth from (select code, max(eps) filter (year = 2000) as a, max(eps) filter (year = 1999) as b from eps group by code) where a is not null and b is not null and b != 0)"
-add("src_forecast_unpivot", lambda s, d: unpivoted(consensus(s, d)).select("code", "year", F.round("eps", 2).alias("eps")), "select code, year, round(eps, 2) as eps from eps where year between 1997 and 2000", FIN)
-add("consensus_growth", lambda s, d: consensus_growth(consensus(s, d), 2000).select("code", F.round("growth", 6).alias("growth")), "select code, round(growth, 6) as growth from growth", f"{FIN},\n{GROWTH}")
-add("revision_1m", lambda s, d: _revision(s, d), "select code, round((a - b) / abs(b), 6) as revision from (select code, min_by(eps, year) as a, min_by(eps * (1 + (code % 7 - 3) / 10.0), year) as b from eps where year >= 1999 group by code) where b != 0", FIN)
-add("implied_growth", lambda s, d: tx.targets(disclosures(s, d)).where("unit = '%'").groupBy("doc_id").agg(F.min_by(F.struct("year", "value"), "year").alias("m")).select("doc_id", F.col("m.year").alias("year"), F.round(F.col("m.value") / 100, 6).alias("growth")), "select doc_id, min(year) as year, round(min_by(value, year) / 100, 6) as growth from found where unit = '%' group by doc_id", FOUND)
-add("rating_window_pick", lambda s, d: T(s, d, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_suppkey").alias("code"), "l_linenumber").agg(F.count("*").alias("n")).groupBy("code").agg(F.min_by("n", F.struct(F.col("l_linenumber") != 1, "l_linenumber")).alias("orgs")), "select code, min_by(n, ln) as orgs from (select l_suppkey as code, l_linenumber as ln, count(*) as n from lineitem where l_linenumber <= 4 group by all) group by code")
-
-
-def _revision(spark, sf_dir) -> DataFrame:
-    """(eps - last month) / |last month| of the nearest forecast year from 1999 on."""
-    rows = unpivoted(consensus(spark, sf_dir)).where("year >= 1999").withColumn("was", F.col("eps") * (1 + (F.col("code") % 7 - 3) / 10.0))
-    near = rows.groupBy("code").agg(F.min_by("eps", "year").alias("a"), F.min_by("was", "year").alias("b"))
-    return near.where("b != 0").select("code", F.round((F.col("a") - F.col("b")) / F.abs("b"), 6).alias("revision"))
-
-
-A_SQL = """case when w > 0 then round(t / w * 100, 1) else 0.0 end as score, n, n >= 2 as rankable from (select *,
-  case when rev is not null then 0.40 else 0.0 end + case when sue is not null then 0.35 else 0.0 end + case when gap is not null then 0.25 else 0.0 end as w,
-  case when rev is not null then 0.40 * greatest(0.0, least(rev / 0.2, 1.0)) else 0.0 end + case when sue is not null then 0.35 * greatest(0.0, least((sue + 2.0) / 4.0, 1.0)) else 0.0 end + case when gap is not null then 0.25 * greatest(0.0, least((gap + 0.2) / 0.4, 1.0)) else 0.0 end as t,
-  (rev is not null)::int + (sue is not null)::int + (gap is not null)::int as n from parts)"""
-PARTS = f"""{FIN},
-{SUE},
-{GROWTH},
-parts as (select s_suppkey as code, case when s_suppkey % 3 != 0 then round(sue / 10, 3) end as rev, round(sue, 3) as sue, round(0.1 - growth, 3) as gap from supplier left join sue on s_suppkey = sue.code left join growth on s_suppkey = growth.code)"""
-
-
-def score_parts(spark, sf_dir) -> DataFrame:
-    """(code, rev, sue, gap): all suppliers with what is known of each."""
-    base = T(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"))
-    rows = base.join(sue(financials(spark, sf_dir)), "code", "left").join(consensus_growth(consensus(spark, sf_dir), 2000), "code", "left")
-    return rows.select("code", F.when(F.col("code") % 3 != 0, F.round(F.col("sue") / 10, 3)).alias("rev"), F.round("sue", 3).alias("sue"), F.round(0.1 - F.col("growth"), 3).alias("gap"))
-
-
-add("score_a", lambda s, d: score_parts(s, d).select("code", sc.score_a(F.col("rev"), F.col("sue"), F.col("gap")).alias("x")).select("code", "x.*"), f"select code, {A_SQL}", PARTS)
-B_IN = "bin as (select s_suppkey as code, s_suppkey % 6 as level, case s_suppkey % 3 when 0 then 'net profit' when 1 then 'output' else 'revenue' end as metric, coalesce(tightness, 'unknown') as tightness, s_suppkey % 9 as traps, s_suppkey % 4 as soft, case when s_suppkey % 5 = 0 then 'subsidiary' else 'company' end as scheme, case when s_suppkey % 7 = 0 then 'or' else 'and' end as connector from supplier left join tight on code = s_suppkey)"
-B_SQL = """round((0.6 * least(level / 5.0, 1.0) + 0.2 * case when metric like '%profit%' then 1.0 else 0.0 end + 0.1 * greatest(0.0, least(1 - pen / 100, 1.0)) + case tightness when 'above' then 0.1 when 'near' then 0.07 when 'below' then 0.02 else 0.0 end) / case when tightness in ('above', 'near', 'below') then 1.0 else 0.9 end * 100, 1) as score
-from (select *, least(30.0, traps * 3.0) + least(20.0, soft * 5.0) + case when scheme = 'subsidiary' then 10.0 else 0.0 end + case when connector = 'or' then 5.0 else 0.0 end + case when metric in ('other', 'output', 'line') then 10.0 else 0.0 end as pen from bin)"""
-
-
-def b_inputs(spark, sf_dir) -> DataFrame:
-    base = T(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code")).join(tightness(financials(spark, sf_dir), F.lit(0.1)), "code", "left")
-    k = F.col("code")
-    metric = F.when(k % 3 == 0, "net profit").when(k % 3 == 1, "output").otherwise("revenue")
-    return base.select("code", (k % 6).alias("level"), metric.alias("metric"), F.coalesce("tightness", F.lit("unknown")).alias("tightness"), (k % 9).alias("traps"), (k % 4).alias("soft"), F.when(k % 5 == 0, "subsidiary").otherwise("company").alias("scheme"), F.when(k % 7 == 0, "or").otherwise("and").alias("connector"))
-
-
-def b_scores(spark, sf_dir) -> DataFrame:
-    c = F.col
-    return b_inputs(spark, sf_dir).select("code", sc.score_b(c("level"), c("metric"), F.array("metric"), c("tightness"), c("traps"), c("soft"), c("scheme"), c("connector")).alias("score"))
-
-
-add("score_b", b_scores, f"select code, {B_SQL}", f"{FIN},\n{TIGHT},\n{B_IN}")
-
-
-def scan(spark, sf_dir, top: int = 30) -> DataFrame:
-    """Suppliers with a target or milestone, both scores, rankable ones first: the top rows."""
-    a = score_parts(spark, sf_dir).select("code", sc.score_a(F.col("rev"), F.col("sue"), F.col("gap")).alias("x")).select("code", F.col("x.score").alias("a"), "x.rankable")
-    rows = a.join(b_scores(spark, sf_dir).withColumnRenamed("score", "b"), "code", "full")
-    best = rows.orderBy(F.col("rankable").desc(), F.desc("a"), F.desc("b"), "code").limit(top)
-    return best.select("code", "a", "b", "rankable", F.row_number().over(Window.orderBy(F.col("rankable").desc(), F.desc("a"), F.desc("b"), "code")).cast("long").alias("rank"))
-
-
-SCAN = f"{PARTS},\n{TIGHT},\n{B_IN},\nsa as (select code, {A_SQL}),\nsb as (select code, {B_SQL})"
-add("scan_topn", scan, "select code, a, b, rankable, rank from (select code, sa.score as a, sb.score as b, rankable, row_number() over (order by rankable desc, sa.score desc, sb.score desc, code) as rank from sa full join sb using (code)) where rank <= 30", SCAN)
-add("join_scan_full", lambda s, d: _full(s, d), "select coalesce(a.code, m.code) as code, a.n as targets, m.n as milestones from (select code, count(*) as n from disc where k <= 2 group by 1) a full join (select code, count(*) as n from disc where k >= 4 group by 1) m using (code)", DOCS)
-add("anti_resume", lambda s, d: disclosures(s, d).select("doc_id", "code").join(T(s, d, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("doc_id")), "doc_id", "left_anti"), "select o_orderkey as doc_id, o_custkey as code from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 2)")
-add("rank_two_level", lambda s, d: scan(s, d, 10).select("code", "rank"), "select code, rank from (select code, row_number() over (order by rankable desc, sa.score desc, sb.score desc, code) as rank from sa full join sb using (code)) where rank <= 10", SCAN)
-
-
-def _full(spark, sf_dir) -> DataFrame:
-    docs = disclosures(spark, sf_dir)
-    a = tx.targets(docs).select("doc_id").distinct().join(docs, "doc_id").groupBy("code").agg(F.count("*").alias("targets"))
-    m = docs.where(tx.stage(F.col("text")) > 0).groupBy("code").agg(F.count("*").alias("milestones"))
-    return a.join(m, "code", "full").select("code", "targets", "milestones")

@@ -198,33 +198,6 @@ def test_score_a(spark, parts, want):
     assert (got.score, got.n, got.rankable) == want
 
 
-TARGETS = [
-    ("本激励计划2026年净利润不低于2.50亿元。", ("abs", 2026, "净利润", 2.5, "亿元")),
-    ("公司2026年营业收入相比考核基数增长不低于15%。", ("rel_named", 2026, "营业收入", 15.0, "%")),
-    ("2027年度净利润不低于人民币5,000万元。", ("abs", 2027, "净利润", 5000.0, "万元")),
-    ("2026-2027年营业收入累计不低于70.00亿元。", ("abs", 2026, "营业收入", 70.0, "亿元")),
-    ("2026年净利润相比2024年增长率不低于30%。", ("rel_year", 2026, "净利润", 30.0, "%")),
-]
-
-
-@pytest.mark.parametrize(("text", "want"), TARGETS)
-def test_target_extraction(spark, text, want):
-    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
-    assert want in [(r.kind, r.year, r.metric_raw, r.value, r.unit) for r in tx.targets(docs).where("doc_id = 1").collect()]
-    assert tx.target_dedupe(tx.targets(spark.createDataFrame([(1, text * 2)], "doc_id long, text string"))).where(F.col("kind") == want[0]).count() == 1
-
-
-def test_target_matrix_and_scope(spark):
-    docs = spark.createDataFrame([(1, "第一个行权期2026年14.18%26.87%20.69%34.10%")], "doc_id long, text string")
-    assert [r.value for r in tx.target_matrix(docs).orderBy("tier").collect()] == [14.18, 26.87, 20.69, 34.10]
-    assert value(spark, tx.scope(F.lit("子公司层面业绩考核目标"))) == "subsidiary" and value(spark, tx.scope(F.lit("公司层面业绩考核目标"))) == "company"
-
-
-@pytest.mark.parametrize(("text", "level"), [("已进入中试试验，中试试验已出样品。", 2), ("送样，未形成批量订单。", 1), ("公司已实现批量供货，产能爬坡中。", 4), ("公司已实现小批量供货。", 3), ("已确认收入并计入当期。", 5), ("尚在研发中，存在不确定性。", 0), (None, 0)])
-def test_milestones(spark, text, level):
-    assert value(spark, tx.stage(F.lit(text).cast("string"))) == level
-
-
 def test_traps_and_news(spark):
     got = value(spark, tx.traps(F.lit("框架协议不具有法律效力，没有强制约束力")))
     assert (got["framework"], got["not binding"], got["firm"]) == (1, 2, 0)
