@@ -5,16 +5,18 @@ pages of one host are grouped by their occurrence vectors: tokens that occur
 equally often on every page are one equivalence class, told by random sums that
 combine before the shuffle. The largest class of tokens that occur once on each
 page that holds them is the host's skeleton. Its containers are the template's
-slots; other classes nest in them, and their constant texts belong to the
-template. The slot with most varying text holds the article; what varies there
-is the main text. Element names and class words weigh where the slots leave a
-choice, and decide alone on a host without a template.
+slots; other classes nest in them, and containers whose texts are all constant belong
+to the template. The slot with most varying text holds the article; slots in an
+article or main element come before the others. All of the slot's text is main
+text but for such constant containers: single words and lines that come back on many
+pages stay. Class words decide alone on a host without a template.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -30,12 +32,11 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 #: A token belongs to a template if this share of the host's pages, and two at least, hold it.
 SUPPORT = 0.5
-#: A text in the article's slot is a constant of the template on this share of the
-#: pages, and this many at least; copies of one article are no template.
+#: A container in the article's slot whose texts are all constant is the template's on
+#: this share of the pages, and this many at least; copies of one article are no template.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 5
-#: Weight of text in an article or main element; share of the article's text from
-#: which a slot inside it counts where no element name tells.
-NAMED, SHARE = 3.0, 0.1
+#: Share of the article's text from which a slot inside it counts where no element name tells.
+SHARE = 0.1
 
 # Element names of HTML and words of class, id and role that mark what is no article.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -51,22 +52,29 @@ MARKS = re.compile(
     re.I,
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quoted value may hold < and >; a tag without an end ends before the next <. Nothing
+#: is tried twice: a quote is taken as a plain character only if no other follows.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>?"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|(?=<)|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _DIGITS = re.compile(r"\d+")
 #: Flags of a token.
-BLOCK, TEXT, AWAY, ARTICLE, OPENS = 1, 2, 4, 8, 16
+BLOCK, TEXT, AWAY, ARTICLE, OPENS, MAIN = 1, 2, 4, 8, 16, 32
 
 
 class Node(NamedTuple):
-    """An open container: its path, the token that opened it, whether it (or what
-    encloses it) is marked as no article, and whether it lies in an article."""
+    """An open container: a hash of its path, the token that opened it, whether it (or
+    what encloses it) is marked as no article, and whether it lies in an article
+    element (2), in a main element only (1) or in neither (0)."""
 
     name: str
     path: str
     token: int
     away: bool
-    article: bool
+    article: int
     plain: dict  # children without attributes so far, by name
 
 
@@ -80,8 +88,8 @@ def events(page: str):
     opened the one that it opens. The path holds containers only, so unclosed
     paragraphs and inline tags do not change it; digits in class and id are left
     out of it, and containers without attributes are told by their number."""
-    node = Node("", "", 0, False, False, {})
-    stack = [node]
+    node = Node("", "", 0, False, 0, {})
+    stack, open_names = [node], Counter()
     at, size = 0, len(page)
     while at < size:
         found = _TOKEN.search(page, at)
@@ -97,9 +105,11 @@ def events(page: str):
         if not name:
             continue
         if found.group(1):
-            if name in CONTAINER and any(x.name == name for x in stack):
-                while stack.pop().name != name:
-                    pass
+            if name in CONTAINER and open_names[name]:
+                closed = ""
+                while closed != name:
+                    closed = stack.pop().name
+                    open_names[closed] -= 1
                 node = stack[-1]
             inline = name in INLINE
             yield ("tag" if inline else "block"), "/" + name, 0 if inline else token_of(False, node.path, "/" + name), node, None, ""
@@ -121,12 +131,15 @@ def events(page: str):
             node.plain[name] = node.plain.get(name, 0) + 1
             label += f"~{node.plain[name]}" if node.plain[name] > 1 else ""
         said = " ".join(marks.get(k, "") for k in ("id", "class", "role"))
-        inner = node.article or name in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articleBody"
+        level = 2 if name == "article" or marks.get("itemprop") == "articleBody" else 1 if name == "main" or marks.get("role") == "main" else 0
+        inner = max(node.article, level)
         away = name in OUTSIDE or (name == "header" and not node.article) or (name not in ("html", "body", "article", "main") and bool(said and MARKS.search(said)))
         token = token_of(False, node.path, label)
-        opened = Node(name, f"{node.path}/{label}", token, node.away or away, inner, {})
+        path = xxhash.xxh64_hexdigest(f"{node.path}/{label}".encode("utf-8", "replace"))
+        opened = Node(name, path, token, node.away or away, inner, {})
         yield "block", label, token, node, opened, ""
         stack.append(opened)
+        open_names[name] += 1
         node = opened
 
 
@@ -135,23 +148,24 @@ def tokens(page: str) -> dict[int, list[int]]:
     container around it, flags, and characters (of a text, or of all text under
     the container that the token opens)."""
     told: dict[int, list[int]] = {}
-    up: dict[int, int] = {}
-    for rank, (kind, _, token, node, opened, _) in enumerate(events(page)):
+    inside: dict[int, int] = {}
+    for rank, (kind, _, token, node, opened, text) in enumerate(events(page)):
         if not token or kind == "tag":
             continue
         row = told.get(token)
         if row is None:
             near = opened or node
-            row = told[token] = [0, rank, node.token, TEXT if kind == "text" else BLOCK | AWAY * near.away | ARTICLE * near.article | OPENS * bool(opened), 0]
+            flags = BLOCK | AWAY * near.away | ARTICLE * (near.article == 2) | MAIN * (near.article > 0) | OPENS * bool(opened)
+            row = told[token] = [0, rank, node.token, TEXT if kind == "text" else flags, 0]
         row[0] += 1
-        if opened:
-            up[token] = node.token
-        elif kind == "text":
-            size, at = len(_), node.token
-            row[4] += size
-            while at:
-                told[at][4] += size
-                at = up[at]
+        if kind == "text":
+            row[4] += len(text)
+            inside[node.token] = inside.get(node.token, 0) + len(text)
+    for token in reversed(told):  # what is inside comes after the container
+        if told[token][3] & OPENS:
+            size = inside.get(token, 0)
+            told[token][4] += size
+            inside[told[token][2]] = inside.get(told[token][2], 0) + size
     return told
 
 
@@ -207,14 +221,14 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(host, token, parent, flags, chars, place, skeleton, often): the tokens of each
     host's template. skeleton: the token is of the host's largest class of tokens
     that occur once on each page that holds them; place orders them. The rest are
-    of classes nested in the skeleton's slots. often: on enough pages to be
-    a constant of the article's slot. Hosts with one page have no template."""
+    of classes nested in the skeleton's slots. often: a container on enough pages to be
+    the template's where its texts are constant. Hosts with one page have no template."""
     seen = checkpoint(vectors(pages).where("token = 0 or pages >= 2"))  # pages are parsed once for all that follows
     whole = seen.where("token = 0").select(F.col("host").alias("site"), F.col("pages").alias("all"))
     often = seen.where("token != 0").join(whole, F.col("host") == F.col("site")).where(F.col("pages") >= support * F.col("all"))
     often = often.where((F.col("low") != F.col("high")) | (F.col("flags").bitwiseAND(TEXT) == 0))  # a text of one page and its copies is no constant
     kind = F.struct("pages", "times", "v1", "v2")
-    constant = (F.col("pages") >= CONSTANT_PAGES) & (F.col("pages") >= CONSTANT_SHARE * F.col("all"))
+    constant = (F.col("flags").bitwiseAND(OPENS) != 0) & (F.col("pages") >= CONSTANT_PAGES) & (F.col("pages") >= CONSTANT_SHARE * F.col("all"))
     often = often.select("host", "token", "parent", "flags", "chars", kind.alias("kind"), (F.col("rank") / F.col("pages")).alias("place"), constant.alias("often"))
     classes = often.where("kind.pages = kind.times").groupBy("host", "kind").agg(F.count("*").alias("size"))
     top = classes.groupBy(F.col("host").alias("site")).agg(F.max(F.struct("size", "kind")).alias("top")).select("site", F.col("top.kind").alias("top"))
@@ -222,62 +236,77 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 class Template:
-    """What a host's template says: slots (tokens of the skeleton's containers),
-    those that are kept, those whose headings are kept, and constant texts: those
-    of the article's slot, and all."""
+    """What a host's template says: slots (tokens of the skeleton's containers), those
+    that are kept, those whose headings are kept, boxes (containers of constant texts
+    only) and constant texts."""
 
     def __init__(self, rows: list[dict]):
         by = {r["token"]: r for r in rows}
         self.constant = {r["token"] for r in rows if r["flags"] & TEXT}
-        self.often = {r["token"] for r in rows if r["flags"] & TEXT and r["often"]}
         self.slots = {t for t, r in by.items() if r["skeleton"] and r["flags"] & OPENS}
         self.kept: set[int] = set()
         self.headings: set[int] = set()
-        varying = {t: by[t]["chars"] for t in self.slots}
-        for token in self.constant:  # constants count for no slot
-            for at in self._up(by[token]["parent"], by):
-                if at in varying:
-                    varying[at] -= by[token]["chars"]
-        own = dict(varying)
-        for token in self.slots:
-            above = next((x for x in self._up(by[token]["parent"], by) if x in self.slots), None)
-            if above is not None:
+        order = self._parents_first(by)
+        fixed = dict.fromkeys(by, 0)  # characters of constants inside, which count for no slot
+        for token in reversed(order):
+            row = by[token]
+            fixed[token] += row["chars"] * bool(row["flags"] & TEXT)
+            if row["parent"] in fixed:
+                fixed[row["parent"]] += fixed[token]
+        varying = {t: by[t]["chars"] - fixed[t] for t in by}
+        self.boxes = {t for t in by if by[t]["often"] and by[t]["chars"] and not varying[t]}
+        own, near = {t: varying[t] for t in self.slots}, {}
+        for token in order:
+            above = near.get(by[token]["parent"])
+            if token in self.slots and above is not None:
                 own[above] -= varying[token]
-        weight = {t: 0.0 if by[t]["flags"] & AWAY else own[t] * (NAMED if by[t]["flags"] & ARTICLE else 1.0) for t in self.slots}
-        main = max(self.slots, key=lambda t: (weight[t], -by[t]["place"]), default=None)
-        if main is None or weight[main] <= 0:
+            near[token] = token if token in self.slots else above
+        main = None
+        for named in (ARTICLE, MAIN, 0):  # slots in an article come first, then those in a main element
+            rivals = [t for t in self.slots if by[t]["flags"] & named == named and not by[t]["flags"] & AWAY and own[t] > 0]
+            main = max(rivals, key=lambda t: (own[t], -by[t]["place"]), default=None)
+            if main is not None:
+                break
+        if main is None:
             self.slots = set()
             return
-        top = main
-        for at in self._up(by[main]["parent"], by):
-            if at in by and by[at]["flags"] & ARTICLE:
-                top = at
-        named = by[main]["flags"] & ARTICLE
-        for token in self.slots:
-            if token == main or (top in self._up(token, by) and not by[token]["flags"] & AWAY and (named or own[token] >= SHARE * own[main])):
-                self.kept.add(token)
+        top = at = main
+        while named and at in by:
+            top = at if by[at]["flags"] & named else top
+            at = by[at]["parent"]
+        below: set[int] = set()
+        for token in order:
+            if token == top or by[token]["parent"] in below:
+                below.add(token)
+                if token in self.slots and (token == main or (not by[token]["flags"] & AWAY and (named or own[token] >= SHARE * own[main]))):
+                    self.kept.add(token)
         if not named and by[main]["parent"] in self.slots:
             self.headings.add(by[main]["parent"])
 
     @staticmethod
-    def _up(token: int, by: dict) -> list[int]:
-        chain = []
-        while token:
-            chain.append(token)
-            token = by[token]["parent"] if token in by else 0
-        return chain
+    def _parents_first(by: dict) -> list[int]:
+        inner: dict[int, list[int]] = {}
+        for token, row in by.items():
+            inner.setdefault(row["parent"] if row["parent"] in by else 0, []).append(token)
+        order, todo = [], list(inner.get(0, []))
+        while todo:
+            token = todo.pop()
+            order.append(token)
+            todo += inner.get(token, [])
+        return order
 
 
 def main_text(page: str, template: Template) -> str:
     """The main text of one page, given the template of its host.
 
-    Texts of the kept slots count without the template's constants. A page that
-    holds nothing there has the text of its article or main elements; without
-    those, what no name marks and no template holds."""
-    found: tuple[list[str], ...] = ([], [], [], [])  # varying text of kept slots, all of theirs, of articles, of the rest
+    Texts of the kept slots count, but for the template's boxes. A page that holds
+    nothing there has the text of its article elements, else of its main elements;
+    without those, what no name marks and no template holds."""
+    found: tuple[list[str], ...] = ([], [], [], [], [])  # kept slots, with boxes, articles, main elements, the rest
     block: list[tuple[str, int]] = []  # texts of the open block, and what they belong to: bits for the lists above
     slot, heading, at_node = 0, False, None
     held: dict[int, int] = {0: 0}
+    boxed: dict[int, bool] = {0: False}
 
     def close():
         for bit, told in enumerate(found):
@@ -291,6 +320,7 @@ def main_text(page: str, template: Template) -> str:
             close()
             if opened:
                 held[token] = token if token in template.slots else held.get(node.token, 0)
+                boxed[token] = token in template.boxes or boxed.get(node.token, False)
             if name.lstrip("/") in HEADING:
                 heading = name[0] != "/"
         elif kind == "text":
@@ -299,15 +329,13 @@ def main_text(page: str, template: Template) -> str:
                 at_node, slot = node, held.get(node.token, 0)
             if not name:
                 if block:
-                    block.append((" ", 15))
+                    block.append((" ", 31))
                 continue
-            in_slot = slot in template.kept or (heading and slot in template.headings)
             bits = 0
-            if in_slot and not node.away:
-                bits = 2 | (token not in template.often)
             if not node.away:
-                bits |= 4 if node.article else 0
-                bits |= 8 if token not in template.constant else 0
+                if slot in template.kept or (heading and slot in template.headings):
+                    bits = 2 | (not boxed.get(node.token, False))
+                bits |= 4 * (node.article == 2) | 8 * (node.article > 0) | 16 * (token not in template.constant)
             block.append((text, bits))
     close()
     return " ".join(next((x for x in found if x), []))

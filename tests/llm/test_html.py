@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,10 +39,51 @@ def shop(k, html_class="body"):
     return f'<html><body><div class="a1">Menu {k}</div><div class="{html_class}"><h1>Head {k}</h1><p>{said}</p><ul class="q"><li>Tell your friends</li></ul><p>Written for the Daily</p></div><div class="z9">Also read {k + 1}</div></body></html>'
 
 
-def test_constants_inside_the_article_go(spark):
-    rows = [(k, f"http://shop.example/{k}", shop(k)) for k in range(12)]
-    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {k: f"Head {k} " + " ".join(f"w{k}x{i}" for i in range(40)) for k in range(12)}
+def extracted(spark, pages):
+    rows = [(k, f"http://host.example/{k}", p) for k, p in enumerate(pages)]
+    return [r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_constant_containers_inside_the_article_go_and_constant_lines_stay(spark):
+    got = extracted(spark, [shop(k) for k in range(12)])
+    assert got == [f"Head {k} " + " ".join(f"w{k}x{i}" for i in range(40)) + " Written for the Daily" for k in range(12)]
+
+
+@pytest.mark.parametrize("n", [1, 4, 12])
+def test_constant_words_in_the_article_stay(spark, n):
+    said = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(n)]
+    page = "<html><body><nav>Home</nav><article><p>{} by <b>Name</b>.</p><h2>Introduction</h2><p>It costs <b>3</b> dollars and <i>m3</i>, more.</p></article><footer>Imprint</footer></body></html>"
+    assert extracted(spark, [page.format(x) for x in said]) == [f"{x} by Name. Introduction It costs 3 dollars and m3, more." for x in said]
+
+
+@pytest.mark.parametrize("inside", [False, True])
+@pytest.mark.parametrize("n", [1, 12])
+def test_the_article_comes_before_longer_comments(spark, n, inside):
+    said = [" ".join(f"w{k}x{i}" for i in range(50)) for k in range(n)]
+    told = [" ".join(f"c{k}x{i}" for i in range(200)) for k in range(n)]
+    around = ("<main>", "", "</main>") if inside else ("", "", "")
+    pages = [f'<html><body>{around[0]}<article><h1>T{k}</h1><p>{said[k]}</p></article><div class="thread"><p>{told[k]}</p></div>{around[2]}</body></html>' for k in range(n)]
+    assert extracted(spark, pages) == [f"T{k} {said[k]}" for k in range(n)]
+
+
+def test_inline_notes_on_every_page_stay(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    noted = pages.withColumn("html", F.regexp_replace("html", "</p>", " <i>see note</i>.</p>"))
+    got = {r.page_id: r.text for r in htmltext.extract(noted).collect()}
+    assert all(got[k].replace(" see note.", "") == v for k, v in plain.items())
+    assert sum(" see note." in x for x in got.values()) > 200  # the others close no paragraph
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<div>" * 100_000 + "x", "<div>x" * 50_000 + "</section>" * 50_000, "<p '" + "<b \"" * 200_000, "<" * 1_000_000, "<!" * 300_000], ids=str.__len__)
+def test_broken_markup_takes_linear_time(page):
+    began = time.process_time()
+    template = htmltext.Template([])
+    htmltext.main_text(page, template)
+    told = htmltext.tokens(page)
+    rows = [{"token": t, "parent": r[2], "flags": r[3], "chars": r[4], "place": float(r[1]), "skeleton": r[0] == 1, "often": bool(r[3] & htmltext.OPENS)} for t, r in told.items()]
+    htmltext.main_text(page, htmltext.Template(rows))
+    assert time.process_time() - began < 15
 
 
 def test_copies_of_one_page_are_no_template(spark):
