@@ -43,6 +43,16 @@ def text_key(name: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
 
+def quoted(name: str) -> Column:
+    """A top-level column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """A row as one struct: its names can't clash with those used beside it."""
+    return F.struct(*[quoted(c) for c in docs.columns])
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the folds of the labelled operators."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, doc_key, find_words, mix, range_hash, read, text_key
+from .common import chunks, doc_key, find_words, mix, range_hash, read, text_key, whole_row
 from .substring import bit_table, in_table, slots
 
 #: Masks of weight 6, 1 for a compared position; items too short for
@@ -263,9 +263,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, shard_tok
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that share no passage with the benchmark, columns as they are."""
+    """The rows of docs that share no passage with the benchmark, columns as they are.
+
+    Null and empty texts share nothing and stay; rows that repeat a document go or
+    stay together, texts under one doc_id or none each by itself; an empty benchmark
+    keeps every row, an empty table gives none; columns of any name may stand in docs."""
     found = matches(docs, benchmark).select(F.col("doc").alias("leaked"), F.col("x").alias("leaked_x")).distinct()
-    return docs.join(found, (doc_key() == F.col("leaked")) & (text_key() == F.col("leaked_x")), "left_anti")
+    rows = docs.select(doc_key().alias("own_id"), text_key().alias("own_x"), whole_row(docs).alias("row"))
+    stay = rows.join(found, (F.col("own_id") == F.col("leaked")) & (F.col("own_x") == F.col("leaked_x")), "left_anti")
+    return stay.select(*[F.col("row")[n].alias(n) for n in docs.columns])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -6,16 +6,19 @@ Flight: within blocks of bounded size the probabilities move through the
 null space of the balancing constraints (tokens and documents), three documents
 at a time, until two at most are left undecided; what is left over from the
 blocks flies again in fewer blocks, until one block of a source remains.
-Landing: its last two documents are settled by the choice that is nearest to
-the token target.
+Large documents are decided first. Landing: the last two documents are settled by
+the choice that is nearest to the token target, and what is missing then is made good
+by single documents.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, checkpoint, doc_key, read, text_key
+from .common import WORD, checkpoint, doc_key, quoted, read, text_key, whole_row
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -53,39 +56,56 @@ def targets(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
     return by.select("source", "source_size", F.coalesce(F.least("most", level * F.col("weight")), F.col("most")).alias("target"))
 
 
+TINY = 1e-9
+
+
 def flight(chance: list[float], size: list[float]) -> None:
     """Move chances until two at most lie strictly between 0 and 1, keeping their
-    sum and their sum weighted by size (in place)."""
-    tiny = 1e-9
-    held: list[int] = []
+    sum and their sum weighted by size (in place). Sizes descend.
+
+    The two largest undecided documents fly with the smallest one, and the largest moves
+    to its nearer end: neighbours in size pay for each other, the smallest keeps the
+    count, and large documents are decided first."""
     for k, c in enumerate(chance):
-        if not tiny < c < 1 - tiny:
+        if not TINY < c < 1 - TINY:
             chance[k] = float(c >= 0.5)
-            continue
-        held.append(k)
-        while len(held) == 3:
-            i, j, m = held
-            u = (size[m] - size[j], size[i] - size[m], size[j] - size[i])  # sums of u and of u * size are 0
-            if not any(u):
-                u = (1.0, -1.0, 0.0)
-            up = min(((1 - chance[x]) / d if d > 0 else chance[x] / -d) for x, d in zip(held, u, strict=True) if d)
-            down = min((chance[x] / d if d > 0 else (1 - chance[x]) / -d) for x, d in zip(held, u, strict=True) if d)
-            step = up if up <= down else -down
-            for x, d in zip(held, u, strict=True):
-                chance[x] += step * d
-                if not tiny < chance[x] < 1 - tiny:
-                    chance[x] = float(chance[x] >= 0.5)
-            held = [x for x in held if 0 < chance[x] < 1]
+    left = deque(k for k, c in enumerate(chance) if 0 < c < 1)
+    while len(left) > 2:
+        i, j, m = left[0], left[1], left[-1]
+        u = (size[m] - size[j], size[i] - size[m], size[j] - size[i])  # sums of u and of u * size are 0
+        if not any(u):
+            u = (1.0, -1.0, 0.0)
+        if (u[0] > 0) != (chance[i] >= 0.5):
+            u = (-u[0], -u[1], -u[2])
+        step = min(((1 - chance[x]) / d if d > 0 else chance[x] / -d) for x, d in zip((i, j, m), u, strict=True) if d)
+        for x, d in zip((i, j, m), u, strict=True):
+            chance[x] += step * d
+            if not TINY < chance[x] < 1 - TINY:
+                chance[x] = float(chance[x] >= 0.5)
+        left.popleft()
+        left.popleft()
+        if 0 < chance[j] < 1:
+            left.appendleft(j)
+        if 0 < chance[i] < 1:
+            left.appendleft(i)
+        if not 0 < chance[m] < 1:
+            left.pop()
 
 
 def land(chance: list[float], size: list[float]) -> None:
-    """Settle the last undecided documents: the choice nearest to the token sum,
-    then to the document sum."""
+    """Settle the last undecided documents by the choice nearest to the token sum, then
+    to the document sum; what is then missing or over is made good by single documents,
+    each the largest that brings the sum nearer."""
     left = [k for k, c in enumerate(chance) if 0 < c < 1]
     tokens, count = sum(chance[k] * size[k] for k in left), sum(chance[k] for k in left)
     best = min(range(1 << len(left)), key=lambda s: (abs(sum(size[k] for b, k in enumerate(left) if s >> b & 1) - tokens), abs(bin(s).count("1") - count), s))
     for b, k in enumerate(left):
         chance[k] = float(best >> b & 1)
+        tokens -= chance[k] * size[k]
+    for k, s in enumerate(size):  # sizes descend
+        change = s if chance[k] == 0 else -s
+        if k not in left and abs(tokens - change) < abs(tokens) and tokens * change > 0:
+            chance[k], tokens = 1 - chance[k], tokens - change
 
 
 def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -95,7 +115,7 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
     kind = "source string, key long, x long, size long, chance double, part long, last boolean"
 
     def fly(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "order", "key", "x"], ascending=[False, True, True, True], kind="stable")  # small ones are left to land
+        rows = rows.sort_values(["size", "order", "key", "x"], ascending=[False, True, True, True], kind="stable")
         chance, size = rows["chance"].tolist(), rows["size"].astype(float).tolist()
         flight(chance, size)
         if rows["last"].iloc[0]:
@@ -123,8 +143,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, block: int
     """(doc_id, size, source_size, target, taken) for each document.
 
     taken is size times the copies that the mix takes, never above `limit`
-    times size; each source's taken words come within one document of its
-    target. Null text has size 0; a null source is a source, the last in order.
+    times size; each source's taken words come within a small document of its
+    target, where the source's documents allow it. Null text has size 0; a null source is a source, the last in order.
     Rows that repeat a doc_id, source and text are drawn each by itself: of n such
     rows, as many are taken once more as their chances add up to. A null doc_id
     stays null. An empty table gives no rows. Reruns agree: the order of the flight
@@ -159,34 +179,51 @@ def mixed(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT, block: int = BLO
     return joined.join(drawn, same, "left").select("source", "key", "x", "doc_id", "size", "n", "source_size", "target", "base", extra.alias("extra"))
 
 
+def _hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; those that hold maps count as JSON."""
+    plain = lambda n, kind: F.to_json(F.struct(quoted(n))) if "map<" in kind or "variant" in kind else quoted(n)
+    return F.xxhash64(*[plain(n, kind) for n, kind in docs.dtypes])
+
+
 def take_mix(docs: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """docs with a column copies added: how often the mix takes the row (0 rows stay out).
 
-    Of rows that repeat a document some may be taken once more than the others. A
-    document with over a thousandth of all rows (and RUN rows) is met by salt: its
-    rows are counted off in each salt, to within a row of their share. Null ids and
-    texts and empty tables behave as in mix_sources; a column copies is replaced.
+    Of rows that repeat a document some may be taken once more than the others: the
+    first in order of a hash of the whole row, so the result does not depend on how
+    rows are dealt; equal rows are interchangeable. A row that comes over RUN times is
+    counted first and written out again in runs. Null ids and texts and empty tables
+    behave as in mix_sources; a column copies is replaced, other names may clash.
     """
-    taken = checkpoint(mixed(docs, weights, limit).where("size > 0"))
-    there = taken.agg(F.sum("n")).first()[0] or 0
-    names = [F.col(c).alias(f"mix_{c}") for c in ("key", "x", "source", "n", "base", "extra")]
-    taken = taken.where("base + extra > 0").select(*names)
-    same = (doc_key() == F.col("mix_key")) & (text_key() == F.col("mix_x")) & F.col("source").cast("string").eqNullSafe(F.col("mix_source"))
-    rows = docs.drop("copies")
-    hot = taken.where(F.col("mix_n") > max(RUN, there // 1000))  # a thousand at most
-    cold = taken.where(F.col("mix_n") <= max(RUN, there // 1000))
+    docs = docs.drop("copies")
     unit = ["mix_key", "mix_x", "mix_source"]
-    at = F.row_number().over(Window.partitionBy(*unit).orderBy("mix_x"))
-    once_more = (F.col("mix_extra") == F.col("mix_n")) | ((F.col("mix_extra") > 0) & (F.col("mix_at") <= F.col("mix_extra")))
-    out = rows.join(cold, same).withColumn("mix_at", at).withColumn("copies", (F.col("mix_base") + once_more.cast("long")).cast("int"))
-    if not hot.isEmpty():
-        salted = rows.join(F.broadcast(hot), same).withColumn("mix_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-        at = F.row_number().over(Window.partitionBy(*unit, "mix_salt").orderBy("mix_x"))
-        share, phase = F.col("mix_extra") / F.col("mix_n"), (F.col("mix_salt") + 0.5) / SALTS
-        step = F.floor(F.col("mix_at") * share + phase) - F.floor((F.col("mix_at") - 1) * share + phase)
-        salted = salted.withColumn("mix_at", at).withColumn("copies", (F.col("mix_base") + step).cast("int"))
-        out = out.unionByName(salted.drop("mix_salt"))
-    return out.where("copies > 0").drop("mix_at", *[f"mix_{c}" for c in ("key", "x", "source", "n", "base", "extra")])
+    wrapped = docs.select(doc_key().alias("mix_key"), text_key().alias("mix_x"), F.col("source").cast("string").alias("mix_source"), _hash(docs).alias("mix_row"), whole_row(docs).alias("row"))
+    taken = mixed(docs, weights, limit).where("size > 0 and base + extra > 0").select(F.col("key").alias("k"), F.col("x").alias("x"), F.col("source").alias("s"), "base", "extra")
+    taken = checkpoint(taken)
+    rows = wrapped.groupBy(*unit, "mix_row").agg(F.count("*").alias("m"))
+    rows = rows.join(taken, (F.col("mix_key") == F.col("k")) & (F.col("mix_x") == F.col("x")) & F.col("mix_source").eqNullSafe(F.col("s"))).drop("k", "x", "s")
+    rows = rows.withColumn("salt", F.pmod("mix_row", F.lit(SALTS)))
+    before = Window.partitionBy(*unit).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    salts = rows.groupBy(*unit, "salt").agg(F.sum("m").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    salts = salts.select(*[F.col(c).alias(f"s_{c}") for c in unit], F.col("salt").alias("s_salt"), "offset")
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in (*unit, "salt")]
+    inside = Window.partitionBy(*unit, "salt").orderBy("mix_row").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("first", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(salts, same[0] & same[1] & same[2] & same[3])
+    more = F.greatest(F.lit(0).cast("long"), F.least(F.col("m"), F.col("extra") - F.col("offset") - F.col("first")))
+    ranked = checkpoint(ranked.withColumn("more", more).where("base + more > 0").select(*[F.col(c).alias(f"r_{c}") for c in (*unit, "mix_row")], "m", "base", "more"))
+    equal = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in (*unit, "mix_row")]
+    equal = equal[0] & equal[1] & equal[2] & equal[3]
+    short, long = ranked.where(F.col("m") <= RUN), ranked.where(F.col("m") > RUN)
+    names = [F.col("row")[n].alias(n) for n in docs.columns]
+    at = F.row_number().over(Window.partitionBy(*unit, "mix_row").orderBy("mix_row"))
+    out = wrapped.join(short, equal).withColumn("at", at)
+    copies = (F.col("base") + (F.col("at") <= F.col("more")).cast("long")).cast("int").alias("copies")
+    out = out.select(*names, copies)
+    if not long.isEmpty():
+        one = wrapped.join(F.broadcast(long), equal).groupBy(*unit, "mix_row", "m", "base", "more").agg(F.first("row").alias("row"))  # a row each of RUN rows at most
+        runs = one.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / RUN)))).repartition(*unit, "run")
+        runs = runs.withColumn("at", F.explode(F.sequence(F.col("run") * RUN + 1, F.least(F.col("m"), (F.col("run") + 1) * RUN))))
+        out = out.unionByName(runs.select(*names, copies))
+    return out.where("copies > 0")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, chunks, components, doc_key, find_words, mix, range_hash, text_key
+from .common import checkpoint, chunks, components, doc_key, find_words, mix, range_hash, text_key, whole_row
 from .simhash import sliced
 from .substring import bit_table, in_table, slots
 
@@ -181,4 +181,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK
     found = components(near_nodes(docs, distinct, similarity, block))
     kept = distinct.join(found, F.col("t") == F.col("id"), "left").groupBy(F.coalesce("component", "t").alias("root")).agg(F.min("first").alias("kept"))
     kept = kept.select(F.col("kept.doc").alias("kept_id"), F.col("kept.x").alias("kept_x"))
-    return docs.join(kept, (doc_key() == F.col("kept_id")) & (text_key() == F.col("kept_x")), "left_semi")
+    rows = docs.select(doc_key().alias("own_id"), text_key().alias("own_x"), whole_row(docs).alias("row"))
+    stay = rows.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_x") == F.col("kept_x")), "left_semi")
+    return stay.select(*[F.col("row")[n].alias(n) for n in docs.columns])

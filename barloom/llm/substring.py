@@ -23,8 +23,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
 
-from .common import checkpoint, chunks, doc_key, find_words, mix, range_hash, read, text_key
+from .common import checkpoint, chunks, doc_key, find_words, mix, quoted, range_hash, read, text_key
 
 WINDOW = 20
 GRAM = 4
@@ -296,7 +297,7 @@ def dedup_texts(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT)
     """
     spans = repeated_spans(docs, window, frequent).groupBy("doc", "x").agg(F.collect_list(F.struct("pos", "bits")).alias("spans"))
     given = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
-    source = docs.select(F.struct(*given).alias("row"), doc_key().alias("key"), text_key().alias("text_hash"))
+    source = docs.select(F.struct(*map(quoted, given)).alias("row"), doc_key().alias("key"), text_key().alias("text_hash"))
     joined = source.join(spans, (F.col("key") == F.col("doc")) & (F.col("text_hash") == F.col("x")), "left").select(F.col("row.text").cast("binary").alias("text"), "spans.pos", "spans.bits", "row")
 
     def run(batches):
@@ -319,8 +320,8 @@ def dedup_texts(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT)
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(kept, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["row", "kept", "n_words", "n_removed"])
 
-    kind = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"row {kind}, kept binary, n_words long, n_removed long")
+    kind = StructType().add("row", joined.schema["row"].dataType).add("kept", BinaryType()).add("n_words", LongType()).add("n_removed", LongType())
+    out = joined.mapInArrow(run, kind)
     return out.select("row.*", F.col("kept").cast("string").alias("kept_text"), "n_words", "n_removed")
 
 

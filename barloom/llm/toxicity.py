@@ -13,8 +13,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from .common import chunks, fold, read
+from .common import chunks, fold, read, whole_row
 from .linear import labelled, logistic
 
 #: Labelled rows that the fit uses, about; the table's bits; features kept.
@@ -125,8 +126,8 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
                 total[lo:hi] += np.bincount(row, shared.value[slot], minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["row", "score"])
 
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return docs.select(F.struct("*").alias("row"), F.lower(F.col("text").cast("string")).alias("lowered")).mapInArrow(run, f"row {kind}, score double")
+    kind = StructType().add("row", docs.schema).add("score", DoubleType())
+    return docs.select(whole_row(docs).alias("row"), F.lower(F.col("text").cast("string")).alias("lowered")).mapInArrow(run, kind)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, bound: int = SAMPLE_ROWS) -> DataFrame:

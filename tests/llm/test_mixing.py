@@ -82,3 +82,35 @@ def test_a_frequent_document_is_met_by_salt(spark, monkeypatch):
     hot = [sum(r.taken for r in out if r.doc_id is None), sum(3 * r.copies for r in kept if r.doc_id is None)]
     assert abs(hot[0] - hot[1]) <= 3 * mixing.SALTS
     assert sum(r.taken for r in out if r.doc_id is not None) == sum(r.copies * len(r.text.split()) for r in kept if r.doc_id is not None)
+
+
+def test_large_documents_are_decided_first():
+    rng = random.Random(8)
+    for _ in range(5):
+        size = sorted((float(rng.randrange(1, 5000)) for _ in range(500)), reverse=True)
+        chance = [0.37] * 500
+        mixing.flight(chance, size)
+        left = [s for c, s in zip(chance, size, strict=True) if 0 < c < 1]
+        assert len(left) <= 2 and max(left, default=0) < 300
+
+
+def test_sources_come_near_their_targets(spark):
+    from collections import defaultdict
+
+    taken, target = defaultdict(int), {}
+    for r in mixing.op8(spark, "/root/testdata/sf0.01").collect():
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
+
+
+def test_copies_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i % 40, f"said {i % 40} " * 3, "en", "ab"[i % 2], i // 40, 0, 0, 0) for i in range(280)] + [(None, "hot words here", "en", "a", 1, 2, 3, 4)] * 300
+    rows += [(100 + i, text(rng, 9), "en", rng.choice("ab"), i, 0, 0, 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOC)
+    seen = []
+    for run, parts in ((mixing.RUN, 3), (mixing.RUN, 7), (20, 5)):
+        monkeypatch.setattr(mixing, "RUN", run)
+        seen.append(sorted((tuple(r) for r in mixing.take_mix(docs.repartition(parts)).collect()), key=str))
+    assert seen[0] == seen[1] == seen[2]
