@@ -15,7 +15,8 @@ import re
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 # Words of targets in disclosures.
 HEADS = ("净利润", "营业收入", "收入合计")
@@ -54,7 +55,7 @@ REALISED, QUESTION = 4, "irm_question"
 #: Metric classes from which no profit gap follows.
 UNCLEAR = ("other", "output", "line")
 
-MARKS = "array<struct<at: int, to: int, kind: string, said: string>>"
+MARKS = ArrayType(StructType().add("at", IntegerType()).add("to", IntegerType()).add("kind", StringType()).add("said", StringType()))
 HEADER, TIGHT, WIDE = 700, 80, 400
 
 
@@ -120,8 +121,8 @@ def _marked(docs: DataFrame, column: str, scan) -> DataFrame:
     """docs with a column of marks of its texts; null texts have none. `scan` comes
     back from a function, so that patterns are compiled in the task."""
     kind = pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32()), ("kind", pa.string()), ("said", pa.string())]))
-    names, schema = docs.columns, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != column)
-    kept = [n for n in names if n != column]
+    names, kept = docs.columns, [n for n in docs.columns if n != column]
+    schema = StructType([f for f in docs.schema if f.name != column]).add(column, MARKS)
 
     def run(batches):
         read = scan()
@@ -129,7 +130,7 @@ def _marked(docs: DataFrame, column: str, scan) -> DataFrame:
             marks = [[dict(zip(("at", "to", "kind", "said"), m, strict=True)) for m in read(t or "")] for t in batch.column(names.index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), pa.array(marks, kind)], names=[*kept, column])
 
-    return docs.mapInArrow(run, f"{schema}, {column} {MARKS}")
+    return docs.mapInArrow(run, schema)
 
 
 def marked_targets(docs: DataFrame) -> DataFrame:
@@ -357,8 +358,6 @@ def evidence(records: DataFrame) -> DataFrame:
     """(code, n, rank, latest, date, level, ..): every graded record of a code with a
     stage, in order of date, level and doc_id; null dates first. The last is the
     code's stage now. records(code, source, date, doc_id, text, ..)."""
-    from pyspark.sql import Window
-
     rows = graded(records, "source").where("level > 0")
     order = Window.partitionBy("code").orderBy(F.col("date").asc_nulls_first(), "level", "doc_id")
     counts = rows.groupBy(F.col("code").alias("own")).agg(F.count("*").alias("n"))
