@@ -113,7 +113,7 @@ add("time_lock_slice", lambda s, d: panel.weekly_bars(s, d).where(F.col("date")
 add("time_lock_check", lambda s, d: panel.weekly_bars(s, d).agg(F.max("date").alias("last"), F.count_if(F.col("date") > F.lit(DAY).cast("date")).alias("late")), f"select max(date) as last, count(*) filter (date > date '{DAY}') as late from bars", sql.BARS)
 add("count_distinct_days", lambda s, d: panel.calendar(panel.weekly_bars(s, d)).orderBy(F.desc("date")).limit(5).select("date", F.col("date_idx").cast("long").alias("date_idx")), "select date, date_idx from cal order by date desc limit 5", sql.BARS)
 add("top_abs_move", lambda s, d: _last_moves(features(s, d)), "select code, round(ret1, 6) as pct from feat where date_idx = (select max(date_idx) from cal) and close is not null and ret1 is not null order by abs(ret1) desc, code limit 20")
-add("src_panel_long", lambda s, d: panel.weekly_bars(s, d).where("close is not null"), "select date, code, open, high, low, close, volume, amount from bars where close is not null", sql.BARS)
+add("src_panel_long", lambda s, d: dense(s, d).where("close is not null").drop("date_idx"), "select date, code, open, high, low, close, volume, amount from bars where close is not null", sql.BARS)
 WIDE = ("600000", "000000", "300000")
 add("src_long_to_wide", lambda s, d: panel.long_to_wide(panel.weekly_bars(s, d), list(WIDE), 60), f"select date, {', '.join(f'''max(close) filter (code = '{c}') as \"{c}\"''' for c in WIDE)} from bars where date in (select date from cal order by date desc limit 60) and code in {WIDE} group by date", sql.BARS)
 add("src_wide_to_long", lambda s, d: panel.wide_to_long(panel.long_to_wide(panel.weekly_bars(s, d), list(WIDE))), f"select date, code, close from bars where code in {WIDE}", sql.BARS)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import patterns as p, portfolio as pf, windows as w
-from ..sources import panel
 from . import sql
-from .windows import dense, features
+from .windows import dense, features, trading_days
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -78,7 +77,7 @@ def lagged(spark, sf_dir) -> DataFrame:
 
 
 def days(spark, sf_dir) -> DataFrame:
-    return panel.calendar(panel.weekly_bars(spark, sf_dir))
+    return trading_days(spark, sf_dir)
 
 
 def main_hits(spark, sf_dir) -> DataFrame:

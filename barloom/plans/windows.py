@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import windows as w
-from ..sources import panel
+from ..sources import panel, store
 from . import sql
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.densify(panel.weekly_bars(spark, sf_dir))
+    """The dense panel, stored once for each state of the line items: bucketed by code,
+    so features need no exchange."""
+    return store.stored(spark, "panel", [f"{sf_dir}/lineitem.parquet"], lambda: panel.densify(panel.weekly_bars(spark, sf_dir)))
+
+
+def trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, date_idx) of the stored panel."""
+    return dense(spark, sf_dir).select("date", "date_idx").distinct()
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

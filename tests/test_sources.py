@@ -98,3 +98,29 @@ def test_drained_results_are_files(spark, tmp_path):
     stream = spark.readStream.schema("code long, value double").parquet(f"{tmp_path}/in")
     assert jobs.drain(stream, f"{tmp_path}/rows").count() == 3
     assert {(r.code, r["count"]) for r in jobs.drain(stream.groupBy("code").count(), f"{tmp_path}/sums", "complete").collect()} == {(1, 2), (2, 1)}
+
+
+def test_stored_panel_is_read_without_an_exchange(spark, tmp_path):
+    from barloom.operators import windows
+    from barloom.sources import store
+
+    bars = panel.weekly_bars(spark, "/root/testdata/sf0.001")
+    bars.write.parquet(f"{tmp_path}/in")
+    built = []
+
+    def build():
+        built.append(1)
+        return panel.densify(spark.read.parquet(f"{tmp_path}/in"))
+
+    get = lambda: store.stored(spark, "trial", [f"{tmp_path}/in"], build)
+    first, again = get(), get()
+    assert len(built) == 1 and sorted(map(str, first.collect())) == sorted(map(str, panel.densify(bars).collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = windows.features(again)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Window" in plan and "Exchange hashpartitioning(code" not in plan
+    bars.limit(5).write.mode("append").parquet(f"{tmp_path}/in")
+    get()
+    assert len(built) == 2  # the input has changed
