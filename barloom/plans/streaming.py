@@ -18,9 +18,10 @@ def events(spark, sf_dir) -> DataFrame:
 
 
 def st_bars(spark, sf_dir) -> DataFrame:
-    """Complete mode, so that the last days count too once the source is drained."""
-    out = jobs.drain(jobs.daily_bars(events(spark, sf_dir)), scratch(spark, "bars"), "complete")
-    return out.withColumn("start", F.col("start").cast("date"))
+    """Closed days, and those still open when the source is drained."""
+    path = scratch(spark, "bars")
+    jobs.daily_bars(events(spark, sf_dir), path)
+    return jobs.bars_of(spark, path, still_open=True).withColumn("start", F.col("start").cast("date"))
 
 
 def st_news_dedupe(spark, sf_dir) -> DataFrame:
@@ -52,7 +53,7 @@ def st_resume(spark, sf_dir) -> DataFrame:
 def st_streak(spark, sf_dir) -> DataFrame:
     """Running count of consecutive large values per code: keyed state in the stream."""
     rows = events(spark, sf_dir).select("code", "event_id", "ts", (F.col("value") > 5).alias("flag"))
-    return jobs.streak_batches(rows, scratch(spark, "streak"))
+    return jobs.drain(jobs.streaks(rows), scratch(spark, "streak")).select("code", "event_id", "streak")
 
 
 QUERIES |= {"st_flow_upsert": st_flow_upsert, "st_resume": st_resume, "st_streak": st_streak}

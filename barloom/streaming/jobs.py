@@ -7,7 +7,9 @@ goes on where the last one stopped, and a replayed batch changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -42,54 +44,136 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(found) if found else spark.createDataFrame([], stream.schema)
 
 
-def daily_bars(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """(start, code, open, high, low, close, n, volume) per day and code, final after the watermark."""
-    rows = events.withWatermark("ts", late)
-    order = F.struct("ts", "event_id")
-    out = rows.groupBy(F.window("ts", "1 day").alias("w"), "code").agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("volume"))
-    return out.select(F.col("w.start").alias("start"), "code", "open", "high", "low", "close", "n", "volume")
+DAY = 86_400
 
 
-def dedupe(items: DataFrame, keys: list[str], late: str = "60 days") -> DataFrame:
-    """The first item per key within the watermark."""
-    return items.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
-
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-def upsert_latest(stream: DataFrame, keys: list[str], order: str, path: str) -> DataFrame:
-    """Each batch is merged into the table at path: the latest row per key wins.
-    Returns the newest version."""
-    spark = stream.sparkSession
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        before = last_version(spark, path, epoch)
-        rows = spark.read.parquet(before).unionByName(batch) if before else batch
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
-        best.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+def _children(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
 
-    stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{path}/_checkpoint").start().awaitTermination()
-    found = last_version(spark, path)
-    return spark.read.parquet(found) if found else spark.createDataFrame([], stream.schema)
 
+def daily_bars(events: DataFrame, path: str, late: int = DAY) -> None:
+    """Run a stream (ts, event_id, code, value) into bars per day and code, in append
+    mode: a day's bar is written once, when the newest time seen is `late` seconds past
+    its end. Only open days are kept as state; rows of a closed day go to a second
+    table, labelled with the watermark they missed.
 
-def streak_batches(events: DataFrame, path: str) -> DataFrame:
-    """(code, event_id, streak) of a stream (code, event_id, ts, flag): the state is a
-    table of the last run per code, replaced with every batch; a batch's own runs
-    are gaps and islands in one window. Batches arrive in order of time."""
+    Under path: bars/ and late/ by epoch, and versions of the open days in open/. A
+    replayed batch writes the same again; a restart goes on from the last version.
+    Rows without a time are late with a null watermark."""
     spark = events.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
-        w = Window.partitionBy("code").orderBy("ts", "event_id")
-        rows = batch.withColumn("k", F.row_number().over(w))
-        off = F.max(F.when(~F.col("flag"), F.col("k"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("off", off)
-        held = last_version(spark, f"{path}/state", epoch)
-        before = spark.read.parquet(held) if held else spark.createDataFrame([], "code long, run int")
-        rows = rows.join(before, "code", "left")
-        run = F.when(~F.col("flag"), 0).when(F.col("off").isNotNull(), F.col("k") - F.col("off")).otherwise(F.col("k") + F.coalesce("run", F.lit(0)))
-        rows.select("code", "event_id", "ts", run.cast("int").alias("streak")).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
-        done = spark.read.parquet(f"{path}/out/epoch={epoch}").groupBy("code").agg(F.max_by("streak", F.struct("ts", "event_id")).alias("run"))
-        kept = done.unionByName(before.join(done, "code", "left_anti"))
-        kept.write.mode("overwrite").parquet(f"{path}/state/v{epoch}")
+        held = last_version(spark, f"{path}/open", epoch)
+        before = spark.read.parquet(held) if held else None
+        seen = spark.read.parquet(held.replace("/open/", "/seen/")).first()[0] if held else None
+        mark = None if seen is None else seen - late
+        day = F.date_trunc("day", "ts")
+        closed = F.lit(False) if mark is None else F.unix_timestamp(day) + DAY <= mark
+        is_late = F.coalesce(closed, F.lit(True))
+        batch.where(is_late).withColumn("watermark", F.when(F.col("ts").isNotNull(), F.lit(mark).cast("long").cast("timestamp"))).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+        one = F.struct("ts", "event_id", F.col("value").cast("double").alias("value"))
+        rows = batch.where(~is_late).select(day.alias("start"), F.col("code").cast("long").alias("code"), one.alias("x"))
+        paid = F.sum(F.col("x.value").cast("decimal(18,2)")).cast("decimal(38,2)")
+        fresh = rows.groupBy("start", "code").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.max("x.value").alias("high"), F.min("x.value").alias("low"), F.count("*").alias("n"), paid.alias("volume"))
+        both = fresh if before is None else fresh.unionByName(before)
+        total = [F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n").alias("n"), F.sum("volume").cast("decimal(38,2)").alias("volume")]
+        merged = both.groupBy("start", "code").agg(*total)
+        newest = batch.agg(F.max(F.unix_timestamp("ts"))).first()[0]
+        newest = max((x for x in (seen, newest) if x is not None), default=None)
+        done = F.lit(False) if newest is None else F.unix_timestamp("start") + DAY <= newest - late
+        merged.where(done).write.mode("overwrite").parquet(f"{path}/bars/epoch={epoch}")
+        spark.createDataFrame([(newest,)], "newest long").write.mode("overwrite").parquet(f"{path}/seen/v{epoch}")
+        merged.where(~done).select("start", "code", "first", "last", "high", "low", "n", "volume").write.mode("overwrite").parquet(f"{path}/open/v{epoch}")
+        for name in _children(spark, f"{path}/open"):  # a replay needs the version before this one
+            if name[:1] == "v" and int(name[1:]) < epoch - 1:
+                _delete(spark, f"{path}/open/{name}")
 
     events.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("code", "event_id", "streak")
+
+
+def bars_of(spark: SparkSession, path: str, still_open: bool = False) -> DataFrame:
+    """(start, code, open, high, low, close, n, volume) of the closed days, and of
+    those still open if asked for."""
+    rows = spark.read.parquet(f"{path}/bars").drop("epoch")
+    held = last_version(spark, f"{path}/open")
+    rows = rows.unionByName(spark.read.parquet(held)) if still_open and held else rows
+    return rows.select("start", "code", F.col("first.value").alias("open"), "high", "low", F.col("last.value").alias("close"), "n", F.col("volume").cast("double").alias("volume"))
+
+
+def dedupe(items: DataFrame, keys: list[str], late: str = "60 days") -> DataFrame:
+    """The first item per key within the watermark."""
+    return items.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+BUCKETS = 64
+
+
+def upsert_latest(stream: DataFrame, keys: list[str], order: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Each batch is merged into the table at path: the latest row per key wins (ties:
+    the greatest row). Returns the newest version.
+
+    Keys are dealt to `buckets` by hash. A batch rewrites the buckets that its keys lie
+    in and no others; the version's list (bucket, epoch that holds it) has a row for
+    each bucket. Data of epochs that neither the newest list nor the one before names
+    are deleted, so that a batch may be replayed. The number of buckets stays as it
+    was when the table began."""
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        held = last_version(spark, f"{path}/list", epoch)
+        where = {r.bucket: r.epoch for r in spark.read.parquet(held).collect()} if held else {}  # `buckets` rows at most
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        old = [f"{path}/data/epoch={where[b]}/bucket={b}" for b in touched if b in where]
+        if old:
+            there = spark.read.option("basePath", f"{path}/data").parquet(*old).drop("epoch")
+            rows = rows.unionByName(there.withColumn("bucket", F.col("bucket").cast("int")))
+        best = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*batch.columns), F.struct(order, *[c for c in batch.columns if c != order])).alias("_r")).select("bucket", "_r.*")
+        best.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/epoch={epoch}")
+        where |= dict.fromkeys(touched, epoch)
+        spark.createDataFrame(sorted(where.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/list/v{epoch}")
+        before = {r.epoch for r in spark.read.parquet(held).collect()} if held else set()
+        for name in _children(spark, f"{path}/data"):
+            if name.startswith("epoch=") and int(name[6:]) not in before | set(where.values()):
+                _delete(spark, f"{path}/data/{name}")
+
+    stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{path}/_checkpoint").start().awaitTermination()
+    held = last_version(spark, f"{path}/list")
+    parts = [f"{path}/data/epoch={r.epoch}/bucket={r.bucket}" for r in spark.read.parquet(held).collect()] if held else []
+    if not parts:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*parts)
+
+
+def streaks(events: DataFrame, idle: str | None = None) -> DataFrame:
+    """(code, event_id, ts, streak) of a stream (code, event_id, ts, flag): the run of a
+    code lives in the stream's keyed state, so a batch costs what its own codes cost.
+
+    Batches arrive in order of time; a batch's rows of one code are sorted by (ts,
+    event_id) in memory, bounded by what a batch may hold. With `idle` (an interval)
+    a code without rows for that long, by the watermark, is forgotten and counts anew."""
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+        run, out = state.get[0] if state.exists else 0, []
+        for flag in rows["flag"].fillna(False).astype(bool):
+            run = run + 1 if flag else 0
+            out.append(run)
+        state.update((run,))
+        if idle is not None:
+            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(idle).total_seconds() * 1000))
+        yield rows.assign(streak=out)[["code", "event_id", "ts", "streak"]]
+
+    kind = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+    rows = events if idle is None else events.withWatermark("ts", "0 seconds")
+    return rows.groupBy("code").applyInPandasWithState(step, "code long, event_id long, ts timestamp, streak int", "run int", "append", kind)

@@ -1,6 +1,7 @@
 """Sources and sinks: round trips through files, and rows that do not fit."""
 
 import datetime
+import os
 import struct
 
 import pytest
@@ -64,7 +65,7 @@ def test_streak_state_crosses_batches(spark, tmp_path):
         rows = [(1, i, start + datetime.timedelta(minutes=i), bool(flags[i])) for i in range(3 * k, 3 * k + 3)]
         spark.createDataFrame(rows, "code long, event_id long, ts timestamp, flag boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("code long, event_id long, ts timestamp, flag boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = {r.event_id: r.streak for r in jobs.streak_batches(stream, f"{tmp_path}/state").collect()}
+    got = {r.event_id: r.streak for r in jobs.drain(jobs.streaks(stream), f"{tmp_path}/state").collect()}
     assert [got[i] for i in range(9)] == [1, 2, 0, 1, 2, 3, 4, 0, 1]
 
 
@@ -72,8 +73,7 @@ def test_upsert_keeps_the_latest_over_batches(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(1, k, float(k)), (k + 2, 0, 1.0)], "code long, seq long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("code long, seq long, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    jobs.upsert_latest(stream, ["code"], "seq", f"{tmp_path}/out")
-    got = {r.code: r.value for r in spark.read.parquet(f"{tmp_path}/out/v2").collect()}
+    got = {r.code: r.value for r in jobs.upsert_latest(stream, ["code"], "seq", f"{tmp_path}/out").collect()}
     assert got == {1: 2.0, 2: 1.0, 3: 1.0, 4: 1.0}
 
 
@@ -86,7 +86,7 @@ def test_state_survives_a_restart(spark, tmp_path):
         spark.createDataFrame(rows, "code long, event_id long, ts timestamp, flag boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/a")
         spark.createDataFrame([(1, k, float(k)), (k + 2, 0, 1.0)], "code long, seq long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
         runs = spark.readStream.schema("code long, event_id long, ts timestamp, flag boolean").parquet(f"{tmp_path}/a")
-        got = {r.event_id: r.streak for r in jobs.streak_batches(runs, f"{tmp_path}/runs").collect()}
+        got = {r.event_id: r.streak for r in jobs.drain(jobs.streaks(runs), f"{tmp_path}/runs").collect()}
         rows = spark.readStream.schema("code long, seq long, value double").parquet(f"{tmp_path}/b")
         latest = {r.code: r.value for r in jobs.upsert_latest(rows, ["code"], "seq", f"{tmp_path}/latest").collect()}
     assert [got[i] for i in range(6)] == [1, 2, 0, 1, 2, 3]
@@ -124,3 +124,60 @@ def test_stored_panel_is_read_without_an_exchange(spark, tmp_path):
     bars.limit(5).write.mode("append").parquet(f"{tmp_path}/in")
     get()
     assert len(built) == 2  # the input has changed
+
+
+def put(spark, path, rows, kind):
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_bars_close_once_late_rows_are_labelled_and_state_falls(spark, tmp_path):
+    kind = "event_id long, ts timestamp, code long, value double"
+    at = lambda day, hour: datetime.datetime(2024, 1, day, hour)
+    batches = [
+        [(1, at(1, 9), 7, 5.0), (2, at(1, 10), 7, 9.0), (3, at(1, 9), 8, 1.5), (4, at(2, 9), 7, 4.0)],
+        [(5, at(1, 8), 7, 3.0), (6, at(4, 9), 7, 6.0)],  # closes day 1 (and 2 at 09:00 of day 4)
+        [(7, at(1, 11), 7, 99.0), (8, at(4, 8), 8, 2.0), (9, None, 7, 1.0)],  # too late; in time; without a time
+    ]
+    path, sizes = f"{tmp_path}/job", []
+    for rows in batches:
+        put(spark, f"{tmp_path}/in", rows, kind)
+        stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        jobs.daily_bars(stream, path)  # a new start each time
+        sizes.append(spark.read.parquet(jobs.last_version(spark, f"{path}/open")).count())
+    closed = sorted((r.start.day, r.code, r.open, r.high, r.low, r.close, r.n, r.volume) for r in jobs.bars_of(spark, path).collect())
+    assert closed == [(1, 7, 3.0, 9.0, 3.0, 9.0, 3, 17.0), (1, 8, 1.5, 1.5, 1.5, 1.5, 1, 1.5), (2, 7, 4.0, 4.0, 4.0, 4.0, 1, 4.0)]
+    assert sizes == [3, 1, 2]
+    late = {r.event_id: r.watermark for r in spark.read.parquet(f"{path}/late").collect()}
+    assert set(late) == {7, 9} and late[9] is None and late[7] == at(3, 9)
+    assert jobs.bars_of(spark, path, still_open=True).count() == 5
+
+
+def test_an_upsert_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
+    kind, path = "code long, seq long, value double", f"{tmp_path}/table"
+    held = lambda: {r.bucket: r.epoch for r in spark.read.parquet(jobs.last_version(spark, f"{path}/list")).collect()}
+
+    def go(rows):
+        put(spark, f"{tmp_path}/in", rows, kind)
+        stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        return {r.code: r.value for r in jobs.upsert_latest(stream, ["code"], "seq", path, buckets=100).collect()}
+
+    assert go([(c, 1, float(c)) for c in range(1000)]) == {c: float(c) for c in range(1000)}
+    first = held()
+    want = {c: float(c) for c in range(1000)} | {5: -5.0, 2000: 1.0}
+    assert go([(5, 2, -5.0), (6, 0, -6.0), (2000, 1, 1.0)]) == want
+    changed = [b for b, e in held().items() if first.get(b) != e]
+    assert len(first) == 100 and 1 <= len(changed) <= 3
+    assert len(os.listdir(f"{path}/data/epoch=1")) <= 5 + len(changed)
+    assert go([(5, 3, 5.5)]) == want | {5: 5.5}
+
+
+def test_an_idle_code_counts_anew(spark, tmp_path):
+    kind = "event_id long, ts timestamp, code long, flag boolean"
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    for rows in ([(1, day(0), 1, True), (2, day(1), 2, True)], [(3, day(20), 2, True)], [(4, day(21), 2, None)], [(5, day(22), 1, True), (6, day(23), 2, True)]):
+        put(spark, f"{tmp_path}/in", rows, kind)
+        stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        out = jobs.drain(jobs.streaks(stream, idle="10 days"), f"{tmp_path}/idle")
+        kept = jobs.drain(jobs.streaks(stream), f"{tmp_path}/kept")
+    assert {r.event_id: r.streak for r in out.collect()} == {1: 1, 2: 1, 3: 2, 4: 0, 5: 1, 6: 1}
+    assert {r.event_id: r.streak for r in kept.collect()} == {1: 1, 2: 1, 3: 2, 4: 0, 5: 2, 6: 1}
