@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import portfolio as pf, sectors as sec, text as tx, windows as w
+from ..operators import model, portfolio as pf, sectors as sec, text as tx, windows as w
 from ..sources import columns, panel
 from . import patterns, sql
-from .windows import dense, features
+from .windows import dense, features, trading_days
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -206,18 +206,28 @@ add("src_json_records", announcements, "select distinct l_orderkey as id, l_supp
 
 
 # --- model -------------------------------------------------------------------------------
+FACTORS = ["ret1", "ret5", "ret10", "ret20", "vol20", "turn", "rsi6", "ma_gap"]
+TRAIN_END, VALID_END, HORIZON = 160, 220, 5
+
+
+def ml_scores(spark, sf_dir) -> DataFrame:
+    """Scores of the rows after the validation segment, by trees fitted before it."""
+    f = features(spark, sf_dir).withColumn("ma_gap", F.col("ma5") / F.col("ma20") - 1)
+    f = w.forward_return(f, "close", HORIZON, "label")
+    trees = model.fit(f, FACTORS, "label", TRAIN_END, VALID_END, HORIZON, columns.scratch(spark, "trees"))
+    return model.score(f.where(F.col("date_idx") >= VALID_END), FACTORS, trees)
+
+
 def ml_topk(spark, sf_dir) -> DataFrame:
-    """Boosted trees on factor columns: fitted on the first rows of the calendar, scored
-    on the rest, top names per date. The pipeline is Spark ML's, distributed."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    """The replay of the ten best names by a learned score, against all names."""
+    days = trading_days(spark, sf_dir)
+    last = days.agg(F.max("date_idx")).first()[0] or 0
+    return model.nav(ml_scores(spark, sf_dir), dense(spark, sf_dir), days, VALID_END, last + 1, 10).drop("date_idx")
+
 
-    f = w.forward_return(features(spark, sf_dir), "close", 5, "label")
-    names = ["ret1", "ret5", "volume"]
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(f.dropna(subset=names))
-    model = GBTRegressor(featuresCol="x", labelCol="label", maxIter=5, maxDepth=3, seed=7).fit(rows.where("date_idx < 200 and label is not null").select("x", "label"))
-    scored = model.transform(rows.where("date_idx >= 220")).withColumn("score", F.col("prediction"))
-    return pf.top_k(scored, 10).select("code", "date", F.col("rank").cast("long").alias("rank"))
+def ml_picks(spark, sf_dir) -> DataFrame:
+    return pf.top_k(ml_scores(spark, sf_dir), 10).select("code", "date", F.col("rank").cast("long").alias("rank"))
 
 
+add("ml_picks", ml_picks, None)
 add("ml_topk", ml_topk, None)
