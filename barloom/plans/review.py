@@ -125,17 +125,60 @@ add("join_enrich_leaders", lambda s, d: leaders(s, d).select("date", "code", "na
 add("join_watch_pool", lambda s, d: panel.instruments(s, d).where("code like '%1'").join(leaders(s, d).select("date", "code", "streak"), "code", "left").select("code", "name", "date", "streak"), "select i.code, i.name, l.date, l.streak from inst i left join lead l using (code) where i.code like '%1'", LEAD)
 
 
-def core_roles(spark, sf_dir) -> DataFrame:
-    """Per date: five leaders by streak and amount, five elastic names of 20% boards by amount."""
-    rows = leaders(spark, sf_dir)
-    w = Window.partitionBy("date_idx")
-    lead = rows.withColumn("r", F.row_number().over(w.orderBy(F.desc("streak"), F.desc_nulls_last("amount"), "code"))).where("r <= 5").select("date", "code", F.lit("leader").alias("role"), F.col("r").cast("long").alias("r"))
-    wide = rows.where(F.substring("code", 1, 2).isin("30", "68")).withColumn("r", F.row_number().over(w.orderBy(F.desc_nulls_last("amount"), "code"))).where("r <= 5").select("date", "code", F.lit("elastic").alias("role"), F.col("r").cast("long").alias("r"))
-    return lead.union(wide)
+WATCHED = F.col("code").endswith("1")
+
 
+def traded(spark, sf_dir) -> DataFrame:
+    """Features with the name and the industry of each code."""
+    known = panel.instruments(spark, sf_dir).select("code", "name", "industry")
+    columns = ["date_idx", "date", "code", "name", "industry", "streak", "is_limit", "amount", "close", "ma20", "ret5"]
+    return features(spark, sf_dir).join(known, "code", "left").select(*columns)
 
-add("core_roles", core_roles, """select date, code, 'leader' as role, r from (select *, row_number() over (partition by date_idx order by streak desc, amount desc nulls last, code) as r from lead) where r <= 5
-union all select date, code, 'elastic' as role, r from (select *, row_number() over (partition by date_idx order by amount desc nulls last, code) as r from lead where code[1:2] in ('30', '68')) where r <= 5""", LEAD)
+
+def core_roles(spark, sf_dir) -> DataFrame:
+    return rv.core_roles(traded(spark, sf_dir), WATCHED).drop("date_idx", "name")
+
+
+def four_dim(spark, sf_dir) -> DataFrame:
+    rows = traded(spark, sf_dir)
+    return rv.four_dim_scores(rows, rv.core_roles(rows, WATCHED), days(spark, sf_dir), WATCHED).drop("date_idx")
+
+
+ROLES = """z as (select f.*, i.name, i.industry from feat f left join inst i using (code)),
+secn as (select date_idx, industry, count(*) as n from z where is_limit group by all),
+tops as (select date_idx, industry as top_sector, n as top_n from secn qualify row_number() over (partition by date_idx order by n desc, industry) = 1),
+six as (select * from z where is_limit qualify row_number() over (partition by date_idx order by streak desc, amount desc nulls last, code) <= 6),
+named as (select * from six qualify row_number() over (partition by date_idx, name order by streak desc, amount desc nulls last, code) = 1),
+leads as (select *, row_number() over (partition by date_idx order by streak desc, amount desc nulls last, code) as r from named qualify r <= 5),
+strong as (select z.*, row_number() over (partition by date_idx order by amount desc nulls last, code) as r from z join tops using (date_idx) where is_limit and industry = top_sector qualify r <= 4),
+filling as (select z.*, row_number() over (partition by date_idx order by code) as r from z join tops using (date_idx) where code like '%1' and close >= ma20
+  and (contains(top_sector, left(industry, 2)) or contains(industry, left(top_sector, 2))) and not exists (select 1 from strong s where s.date_idx = z.date_idx and s.name = z.name)),
+mids as (select date, code, row_number() over (partition by date_idx order by kind, r, code) as k from (select *, 0 as kind from strong union all select *, 1 from filling) qualify k <= 5),
+roles as (
+  select date, code, 'leader' as role, r from leads
+  union all select date, code, 'mid', k from mids
+  union all select date, code, 'elastic', row_number() over (partition by date_idx order by amount desc nulls last, code) as r from z where is_limit and code[1:2] in ('30', '68') qualify r <= 5)"""
+add("core_roles", core_roles, "select * from roles", f"{sql.FEATURES},\n{ROLES}")
+_grade = lambda x: "case " + " ".join(f"when {x} >= {at} then '{name}'" for at, name in rv.GRADES) + " else 'D' end"
+FOUR = f"""{SCORE},
+{ROLES},
+listed as (
+  select date_idx, date, name, 0 as kind, r as k, 70.0 as theme, 85.0 as pos, 40.0 as flow, 55.0 as hold from leads where r = 1 and streak >= 4
+  union all
+  select date_idx, date, name, 1, r, least(90.0, case when industry = top_sector then 60.0 else 45.0 end + case when top_n >= 8 then 10.0 else 0.0 end), least(90.0, 35.0 + streak * 12), 45.0, 50.0
+  from leads join tops using (date_idx) where r <= 4
+  union all
+  select date_idx, date, name, 2, row_number() over (partition by date_idx order by code),
+    case when is_limit then least(95.0, theme + 20) else theme end, case when is_limit then 55.0 else 40.0 end,
+    50.0 + case when close >= ma20 then 15.0 when close < ma20 then -10.0 else 0.0 end + case when ret5 > 0.03 then 10.0 else 0.0 end,
+    50.0 + case when close >= ma20 then 15.0 else 0.0 end + case when ret5 < -0.05 then -10.0 else 0.0 end
+  from (select z.*, case when n is not null then least(90.0, 40.0 + n * 5) else 50.0 end as theme from z left join secn using (date_idx, industry) where code like '%1' and close is not null)),
+once as (select * from listed qualify row_number() over (partition by date_idx, name order by kind, k) = 1),
+kept as (select *, row_number() over (partition by date_idx order by kind, k) as rank from once qualify rank <= 16),
+dims as (select kept.*, greatest(0.0, least(100.0, (35 * theme + 30 * pos + 20 * flow + 15 * hold) / 100 - case when total is null then 4 when total < 50 then 8 when total < 65 then 4 else 0 end)) as g
+  from kept left join (select date_idx, total from score) using (date_idx))"""
+add("four_dim_score", four_dim, f"""select date, name, rank, {', '.join(f'{_grade(c)} as {c}' for c in ('theme', 'pos', 'flow', 'hold'))}, round(g, 1)::double as raw, {_grade('g')} as grade, {_grade('(theme + pos) / 2')} as elastic,
+  case when g >= 75 then 'follow' when g >= 60 then 'watch' when g >= 45 then 'hold' else 'avoid' end as act from dims""", FOUR)
 add("watch_note", lambda s, d: _note(features(s, d)), "select code, close, case when ma20 is null then 'unknown' when close >= ma20 then 'above' else 'below' end as note from (select *, row_number() over (partition by code order by date_idx desc) as rn from feat where close is not null) where rn = 1")
 
 

@@ -80,21 +80,6 @@ def _first(spark, sf_dir) -> DataFrame:
     return tx.first_per_key(rows, ["code"], "src", "doc")
 
 
-# --- four-dimension score --------------------------------------------------------
-FOUR = "0.35 * theme + 0.30 * pos + 0.20 * flow + 0.15 * hold - penalty"
-GRADE = "case when s >= 80 then 'A' when s >= 70 then 'B+' when s >= 60 then 'B' when s >= 50 then 'C' else 'D' end"
-
-
-def four_dim(spark, sf_dir) -> DataFrame:
-    """Theme, position, flow and holding scores of each code's last traded row, weighted, less a penalty, graded."""
-    f = features(spark, sf_dir).where("close is not null").groupBy("code").agg(F.max_by(F.struct("ret5", "ma5", "close", "volume", "streak"), "date_idx").alias("x")).select("code", "x.*")
-    parts = f.select("code", F.when(F.col("ret5") > 0, 80).otherwise(40).alias("theme"), F.when(F.col("close") >= F.col("ma5"), 75).otherwise(45).alias("pos"), F.when(F.col("volume") >= 50, 70).otherwise(50).alias("flow"), F.when(F.col("streak") > 0, 60).otherwise(65).alias("hold"), F.when(F.col("streak") >= 3, 10).otherwise(0).alias("penalty"))
-    return parts.withColumn("s", F.expr(FOUR)).select("code", F.round("s", 4).alias("score"), F.expr(GRADE).alias("grade"))
-
-
-add("four_dim_score", four_dim, f"select code, round(s, 4) as score, {GRADE} as grade from (select code, {FOUR} as s from (select code, case when ret5 > 0 then 80 else 40 end as theme, case when close >= ma5 then 75 else 45 end as pos, case when volume >= 50 then 70 else 50 end as flow, case when streak > 0 then 60 else 65 end as hold, case when streak >= 3 then 10 else 0 end as penalty from (select *, row_number() over (partition by code order by date_idx desc) as rn from feat where close is not null) where rn = 1))")
-
-
 # --- snapshot of technical indicators ---------------------------------------------
 def ema_macd(pdf: pd.DataFrame) -> pd.DataFrame:
     """Last MACD (12, 26, 9) of one code's traded rows: an order-dependent recursion."""
