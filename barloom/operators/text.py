@@ -16,10 +16,19 @@ def tags(text: Column, words: dict[str, list[str]], default: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(default))
 
 
-def news_window(items: DataFrame, day: Column, hours: int = 48) -> DataFrame:
-    """Items within `hours` of the day, or all if none is."""
-    near = F.coalesce(F.abs(F.unix_timestamp("time") - F.unix_timestamp(day)) <= hours * 3600, F.lit(False))
-    rows = items.withColumn("_near", near)
+def in_window(time: Column, day: str, hours: int = 48) -> Column:
+    """Whether a time as text lies within `hours` of the start of the day: year-month-day
+    or month-day (of the day's year) with hours and minutes, - or / between. A time
+    that can't be read counts if it contains the day, a missing one always."""
+    plain = F.replace(time, F.lit("/"), F.lit("-"))
+    at = F.coalesce(F.try_to_timestamp(plain, F.lit("y-M-d H:m[:s]")), F.try_to_timestamp(F.concat(F.lit(f"{day[:4]}-"), plain), F.lit("y-M-d H:m")))
+    near = F.abs(F.unix_timestamp(at) - F.unix_timestamp(F.lit(day).cast("timestamp"))) <= hours * 3600
+    return F.when(F.coalesce(time, F.lit("")) == "", True).when(at.isNotNull(), near).otherwise(F.contains(time, F.lit(day)))
+
+
+def news_window(items: DataFrame, day: str, hours: int = 48) -> DataFrame:
+    """Items whose time (text) is in the window, or all if none is."""
+    rows = items.withColumn("_near", in_window(F.col("time"), day, hours))
     some = rows.agg(F.coalesce(F.max("_near"), F.lit(False)).alias("m")).select("m").scalar()
     return rows.where(F.col("_near") | ~some).drop("_near")
 

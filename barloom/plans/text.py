@@ -66,7 +66,27 @@ def tagged(spark, sf_dir) -> DataFrame:
 
 add("news_tags", lambda s, d: tagged(s, d).select("doc_id", F.array_join("tags", ",").alias("tags")), "select doc_id, array_to_string(tags, ',') as tags from tagged", TAGGED)
 DAY = "2024-01-02"
-add("news_window", lambda s, d: tx.news_window(news(s, d), F.lit(DAY).cast("timestamp")).select("doc_id", "time"), f"select doc_id, time from news where abs(epoch(date_trunc('second', time)) - epoch(timestamp '{DAY}')) <= 172800", NEWS)
+
+
+def timed(spark, sf_dir) -> DataFrame:
+    """News with times as feeds write them: two full forms, one without a year, none, prose."""
+    form = lambda f: F.date_format("time", f)
+    forms = F.array(form("yyyy-MM-dd HH:mm"), form("yyyy/MM/dd HH:mm:ss"), form("MM-dd HH:mm"), F.lit(None).cast("string"), F.concat(F.lit("posted "), form("yyyy-MM-dd")))
+    return news(spark, sf_dir).select("doc_id", F.element_at(forms, (F.col("doc_id") % 5 + 1).cast("int")).alias("time"))
+
+
+TIMED = f"""{NEWS},
+timed as (select doc_id, ([strftime(time, '%Y-%m-%d %H:%M'), strftime(time, '%Y/%m/%d %H:%M:%S'), strftime(time, '%m-%d %H:%M'), null, 'posted ' || strftime(time, '%Y-%m-%d')])[(doc_id % 5 + 1)::int] as time from news)"""
+
+
+def _window_sql(day: str, rows: str) -> str:
+    return f"""select doc_id, time from (select *, bool_or(near) over () as hits from (select *, case when coalesce(time, '') = '' then true
+  when read is not null then abs(epoch(read) - epoch(timestamp '{day}')) <= 172800 else contains(time, '{day}') end as near
+  from (select *, coalesce(try_strptime(replace(time, '/', '-'), ['%Y-%m-%d %H:%M', '%Y-%m-%d %H:%M:%S']), try_strptime('{day[:4]}-' || replace(time, '/', '-'), '%Y-%m-%d %H:%M')) as read from {rows}))) where near or not hits"""
+
+
+add("news_window", lambda s, d: tx.news_window(timed(s, d), DAY), _window_sql(DAY, "timed"), TIMED)
+add("news_window_empty", lambda s, d: tx.news_window(timed(s, d).where("time like '____-%'"), "1999-05-05"), _window_sql("1999-05-05", "(select * from timed where time like '____-%')"), TIMED)
 add("news_dedupe", lambda s, d: tx.news_rank(tx.first_per_key(news(s, d).withColumn("k", F.left("title", F.lit(24))), ["k"], "time", "doc_id").withColumn("tag", F.explode(tx.tags(F.concat("title", "summary"), WORDS, F.col("category")))), {"event": 8, "risk": 8}).select("tag", "rank", "doc_id"),
     "select tag, rank, doc_id from (select *, row_number() over (partition by tag order by time desc, title, doc_id) as rank from (select unnest(tags) as tag, * from (select *, row_number() over (partition by left(title, 24) order by time, doc_id) as rn from tagged) where rn = 1)) where rank <= case when tag in ('event', 'risk') then 8 else 10 end", TAGGED)
 _key = "regexp_replace(title, '[^0-9A-Za-z\\x{4e00}-\\x{9fa5}]', '', 'g')[1:12]"

@@ -223,3 +223,10 @@ def test_deadband_and_percentile_match_loops(spark):
         past = values[max(0, i - 99) : i + 1]
         want = sum(x < values[i] for x in past) / len(past) if len(past) >= 20 else None
         assert (r.pctile is None) == (want is None) and (want is None or math.isclose(r.pctile, want))
+
+
+def test_news_window_keeps_what_it_cannot_read_by_containment(spark):
+    times = ["2026-09-16 10:00", "2026/9/17 23:59:59", "9-14 00:00", "09-13 23:59", None, "", "about 2026-09-16", "yesterday", "2026-09-18 00:01"]
+    items = spark.createDataFrame(list(enumerate(times)), "id int, time string")
+    assert [r.id for r in tx.news_window(items, "2026-09-16").orderBy("id").collect()] == [0, 1, 2, 4, 5, 6]
+    assert tx.news_window(items.where("id in (3, 7)"), "2026-09-16").count() == 2
