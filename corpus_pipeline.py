@@ -14,8 +14,9 @@ from barloom.llm.common import read, whole_row
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. Null and empty texts hold nothing
-    toxic and are scored like any text; equal rows fare alike; without a label of both
-    kinds every document stays; columns of any name stay as they are."""
+    toxic and are scored like any text; equal rows fare alike. Without labels, or with
+    those of one class only, all documents count as of that class (clean if there are
+    none). Columns of any name stay as they are."""
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
