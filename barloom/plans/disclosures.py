@@ -146,23 +146,27 @@ plain as (select *, regexp_replace(text, '(?:{'|'.join(sorted(dc.NEGATIONS, key=
 levels as (select *, case {' '.join(f"when regexp_matches({'replace(bare, ' + repr('小批量') + ', ' + repr('　') + ')' if k == 4 else 'bare'}, '{_stages[k - 1]}') then {k}" for k in (5, 4, 3, 2, 1))} else 0 end as level from plain),
 graded as (select *, level >= {dc.REALISED} as realised, ({_list(("unknown", *dc.STAGES))})[level + 1] as stage,
     array_to_string(regexp_extract_all(replace(bare, case when level = 4 then '小批量' else chr(1) end, '　'), ({_list(['$^', *_stages])})[level + 1], 0), ',') as terms from levels)"""
-_words = F.array_join(F.transform("terms", lambda t: t["said"]), ",").alias("terms")
-add("milestone_grade", lambda s, d: dc.graded(filings(s, d), "source").select("doc_id", "level", "stage", "realised", _words), "select doc_id, level, stage, realised, terms from graded", f"{FILINGS},{GRADED}")
+
+
+def words() -> Column:
+    return F.array_join(F.transform("terms", lambda t: t["said"]), ",").alias("terms")
+
+
+add("milestone_grade", lambda s, d: dc.graded(filings(s, d), "source").select("doc_id", "level", "stage", "realised", words()), "select doc_id, level, stage, realised, terms from graded", f"{FILINGS},{GRADED}")
 add("milestone_sentence", lambda s, d: filings(s, d).select("doc_id", tx.sentence(F.col("text"), "供货", 6).alias("said")),
     "select doc_id, case when strpos(text, '供货') > 0 then text[greatest(strpos(text, '供货') - 6, 1):strpos(text, '供货') + 5] else '' end as said from filings", FILINGS)
 _count = lambda words: " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)}" for w in words)
 add("trap_counts", lambda s, d: filings(s, d).select("doc_id", tx.traps(F.col("text")).alias("t")).select("doc_id", *[F.col("t")[k].alias(k.replace(" ", "_")) for k in tx.TRAPS]),
     f"select doc_id, {', '.join(f'({_count(w)})::int as {k.replace(chr(32), chr(95))}' for k, w in tx.TRAPS.items())} from filings", FILINGS)
-add("milestone_latest", lambda s, d: dc.evidence(filings(s, d)).select("code", "n", "rank", "latest", "date", "level", "stage", "realised", "doc_id", _words),
+add("milestone_latest", lambda s, d: dc.evidence(filings(s, d)).select("code", "n", "rank", "latest", "date", "level", "stage", "realised", "doc_id", words()),
     "select code, count(*) over (partition by code) as n, row_number() over (partition by code order by date nulls first, level, doc_id) as rank, rank = n as latest, date, level, stage, realised, doc_id, terms from graded where level > 0", f"{FILINGS},{GRADED}")
 add("answer_side", lambda s, d: tx.answers(T(s, d, "conversations")).groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last")), "select conv_id, count(*) as n, max(turn) as last from conversations where role = 'assistant' and length(trim(coalesce(text, ''))) > 0 group by conv_id")
-_share = F.filter("periods", lambda p: p["unit"] == "%")
 IMPLIED = "implied as (select doc_id, min(year) as year, round(min_by(value, (year, value)) / 100, 6) as growth from told where unit = '%' group by doc_id)"
 
 
 def implied_growth(plans: DataFrame) -> DataFrame:
     """plans with implied_year and implied: the earliest percentage target as a fraction."""
-    first = F.get(_share, F.lit(0))
+    first = F.get(F.filter("periods", lambda p: p["unit"] == "%"), F.lit(0))
     return plans.withColumn("implied_year", first["year"]).withColumn("implied", F.round(first["value"] / 100, 6))
 
 
@@ -263,8 +267,13 @@ scan as (
     array_to_string(list_filter([case when plan is not null then 'targets' end, case when note is not null then 'milestones' end, case when consensus is not null then 'consensus' end, case when sue is not null then 'financials' end, case when rev is not null then 'forecasts' end], lambda x: x is not null), ',') as sources
   from scanned),
 ranked as (select *, row_number() over (order by rankable desc, a desc, b desc, code) as rank from scan)""".replace("as score, n, n >= 2", "as a, n, n >= 2")
-_told = F.array_join("manual", ";").alias("manual")
-add("scan_topn", lambda s, d: ranked(scan(s, d), 30).withColumn("manual", _told), "select * from ranked where rank <= 30", SCAN)
-add("join_scan_full", lambda s, d: scan(s, d).withColumn("manual", _told), "select * from scan", SCAN)
+
+
+def told(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("manual", F.array_join("manual", ";"))
+
+
+add("scan_topn", lambda s, d: told(ranked(scan(s, d), 30)), "select * from ranked where rank <= 30", SCAN)
+add("join_scan_full", lambda s, d: told(scan(s, d)), "select * from scan", SCAN)
 add("rank_two_level", lambda s, d: ranked(scan(s, d), 10).select("code", "a", "b", "rankable", "rank"), "select code, a, b, rankable, rank from ranked where rank <= 10", SCAN)
 add("anti_resume", lambda s, d: filings(s, d).select("doc_id", "code").join(T(s, d, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("doc_id")), "doc_id", "left_anti"), "select doc_id, code from filings where doc_id not in (select l_orderkey from lineitem where l_linenumber = 2)", FILINGS)

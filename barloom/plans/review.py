@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators import review as rv
 from ..sources import panel
@@ -125,7 +125,8 @@ add("join_enrich_leaders", lambda s, d: leaders(s, d).select("date", "code", "na
 add("join_watch_pool", lambda s, d: panel.instruments(s, d).where("code like '%1'").join(leaders(s, d).select("date", "code", "streak"), "code", "left").select("code", "name", "date", "streak"), "select i.code, i.name, l.date, l.streak from inst i left join lead l using (code) where i.code like '%1'", LEAD)
 
 
-WATCHED = F.col("code").endswith("1")
+def watched() -> Column:
+    return F.col("code").endswith("1")
 
 
 def traded(spark, sf_dir) -> DataFrame:
@@ -136,12 +137,12 @@ def traded(spark, sf_dir) -> DataFrame:
 
 
 def core_roles(spark, sf_dir) -> DataFrame:
-    return rv.core_roles(traded(spark, sf_dir), WATCHED).drop("date_idx", "name")
+    return rv.core_roles(traded(spark, sf_dir), watched()).drop("date_idx", "name")
 
 
 def four_dim(spark, sf_dir) -> DataFrame:
     rows = traded(spark, sf_dir)
-    return rv.four_dim_scores(rows, rv.core_roles(rows, WATCHED), days(spark, sf_dir), WATCHED).drop("date_idx")
+    return rv.four_dim_scores(rows, rv.core_roles(rows, watched()), days(spark, sf_dir), watched()).drop("date_idx")
 
 
 ROLES = """z as (select f.*, i.name, i.industry from feat f left join inst i using (code)),
