@@ -63,19 +63,28 @@ def _any(words: Iterable[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
 
 
-def lexicon() -> list[tuple[str, str]]:
-    """(letter of the kind, pattern) of target marks, tried in order at each place."""
+#: What every statement holds (a comparison), and every matrix row (its label).
+STATEMENT, ROW = _any(AT_LEAST), f"第[一二三四五六七八九十]个{_any(VESTING)}"
+
+
+def lexicon(lines: bool = True, codes: bool = True) -> list[tuple[str, str]]:
+    """(letter of the kind, pattern) of target marks, tried in order at each place.
+
+    Without lines the patterns that any words before a word of LINES or 片数 open are left
+    out, without codes those that end in a bracketed code: a text that holds no such word,
+    or no opening bracket, has none of them, and they are the ones tried at every character."""
     number, blank = r"[0-9][0-9,]*(?:\.[0-9]+)?", r"\s*"
     named = f"{_any(OWNERS)}*{_any(HEADS)}"
     code = rf"{blank}[（(]{blank}[A-Za-z]{{1,3}}{blank}[）)]"
-    return [
-        ("l", f"第[一二三四五六七八九十]个{_any(VESTING)}"),
+    declared, metric = (named, named) if not lines else (f"(?:{named}|[一-龥]{{2,8}}?(?:片数|{'|'.join(LINES)}))", f"{named}|[一-龥]{{2,10}}?(?:业务)?{_any(LINES)}(?!增长?率?{code})")
+    rows = [
+        ("l", ROW),
         ("t", f"{_any(TIERS)}(?:{code})?"),
-        ("d", f"(?:{named}|[一-龥]{{2,8}}?(?:片数|{'|'.join(LINES)}))增长?率?{code}"),
+        ("d", f"{declared}增长?率?{code}"),
         ("p", rf"[0-9]+(?:\.[0-9]+)?{blank}%"),
         ("y", rf"20[0-9]{{2}}(?:-20[0-9]{{2}})?{blank}年?(?:度|累计)*{blank}(?:公司)?"),
         ("a", f"(?:{CURRENCY})?{blank}{number}{blank}(?:{CURRENCY})?{_any(UNITS)}"),
-        ("m", f"{named}|[一-龥]{{2,10}}?(?:业务)?{_any(LINES)}(?!增长?率?{code})"),
+        ("m", metric),
         ("c", _any(AT_LEAST)),
         ("g", _any(GROWTH)),
         ("b", _any(BASES)),
@@ -84,6 +93,7 @@ def lexicon() -> list[tuple[str, str]]:
         ("f", "以"),
         ("u", "累计"),
     ]
+    return [r for r in rows if codes or r[0] != "d"]
 
 
 #: What may stand between the parts of a statement.
@@ -99,14 +109,23 @@ READINGS = (
 LONGEST = 9
 
 
-def _scan_targets(pattern: re.Pattern, text: str) -> list[tuple]:
-    """Marks of a text in order; a gap that holds more than filler is a mark of kind x."""
-    out, last = [], 0
+def _scan_targets(pattern: re.Pattern, text: str, final: int) -> list[tuple]:
+    """Marks of a text in order; a gap that holds more than filler is a mark of kind x.
+
+    final is where the last comparison or row label stands: a statement ends with the
+    mark after its comparison, a row with its last percentage, so marks beyond those are
+    not looked for."""
+    out, last, row = [], 0, False
     for m in pattern.finditer(text):
-        if not FILLER.fullmatch(text, last, m.start()):
-            out.append((last, m.start(), "x", ""))
-        out.append((m.start(), m.end(), m.lastgroup, m.group()))
+        at, kind = m.start(), m.lastgroup
+        if at != last and not FILLER.fullmatch(text, last, at):
+            out.append((last, at, "x", ""))
+        out.append((at, m.end(), kind, m.group()))
         last = m.end()
+        if at == final:
+            row = kind == "l"
+        elif at > final and not (row and kind in ("y", "p")):
+            break
     return out
 
 
@@ -127,18 +146,34 @@ def _marked(docs: DataFrame, column: str, scan) -> DataFrame:
     def run(batches):
         read = scan()
         for batch in batches:
-            marks = [[dict(zip(("at", "to", "kind", "said"), m, strict=True)) for m in read(t or "")] for t in batch.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), pa.array(marks, kind)], names=[*kept, column])
+            flat, ends = [], [0]
+            for t in batch.column(names.index("text")).to_pylist():
+                flat += read(t or "")
+                ends.append(len(flat))
+            parts = [pa.array(values, field.type) for values, field in zip(zip(*flat) if flat else ((),) * 4, kind.value_type, strict=True)]
+            marks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), marks], names=[*kept, column])
 
     return docs.mapInArrow(run, schema)
 
 
-def marked_targets(docs: DataFrame) -> DataFrame:
-    """docs(.., text) with column marks: the marks of the target lexicon."""
+def marked_targets(docs: DataFrame, needed: str) -> DataFrame:
+    """docs(.., text) with column marks: the marks of the target lexicon, up to the end
+    of the last statement or row. `needed` is the pattern of their comparisons, labels or
+    both; texts without it are not scanned and have no marks."""
 
     def scan():
-        pattern = re.compile("|".join(f"(?P<{'base' if k == 'B' else k}>{p})" for k, p in lexicon()))
-        return lambda text: [(a, b, "B" if k == "base" else k, s) for a, b, k, s in _scan_targets(pattern, text)]
+        must, line = re.compile(needed), re.compile(_any(("片数", *LINES)))
+        patterns = {(a, b): re.compile("|".join(f"(?P<{'base' if k == 'B' else k}>{p})" for k, p in lexicon(a, b))) for a in (False, True) for b in (False, True)}
+
+        def read(text):
+            final = max((m.start() for m in must.finditer(text)), default=-1)
+            if final < 0:
+                return []
+            pattern = patterns[line.search(text) is not None, "（" in text or "(" in text]
+            return [(a, b, "B" if k == "base" else k, s) for a, b, k, s in _scan_targets(pattern, text, final)]
+
+        return read
 
     return _marked(docs, "marks", scan)
 
@@ -155,12 +190,17 @@ def statements(marks: Column, shape: Column) -> Column:
     """Array of statements from a text's marks and their shape."""
 
     def read(i: Column) -> Column:
-        """The statement whose comparison is mark i (from 1)."""
+        """The statement whose comparison is mark i (from 1). The shapes are bound by
+        transform: as plain columns they would be matched again wherever they are used."""
         low = F.greatest(i + 1 - (LONGEST - 1), F.lit(1))
         around = F.substring(shape, low, i + 2 - low)
+        shapes = F.array(*[F.regexp_extract(around, f"({pattern})$", 1) for _, pattern in READINGS])
+        return F.get(F.transform(F.array(shapes), lambda found: told(i, found)), F.lit(0))
+
+    def told(i: Column, found: Column) -> Column:
         out = None
-        for name, pattern in READINGS:
-            got = F.regexp_extract(around, f"({pattern})$", 1)
+        for k, (name, _) in enumerate(READINGS):
+            got = F.get(found, F.lit(k))
             first = i + 2 - F.length(got)
             part = lambda k, first=first: F.element_at(marks, first + k)
             at = F.instr(got, "y") - 1
@@ -219,9 +259,9 @@ def _cells(row: Column) -> Column:
     return F.transform(row["cells"], cell)
 
 
-def _read(docs: DataFrame) -> DataFrame:
+def _read(docs: DataFrame, needed: str = f"{STATEMENT}|{ROW}") -> DataFrame:
     """docs with found (statements) and cells (of matrices), marks left out."""
-    rows = marked_targets(docs).withColumn("shape", F.array_join(F.transform("marks", lambda m: m["kind"]), ""))
+    rows = marked_targets(docs, needed).withColumn("shape", F.array_join(F.transform("marks", lambda m: m["kind"]), ""))
     rows = rows.withColumn("found", statements(F.col("marks"), F.col("shape")))
     return rows.withColumn("cells", F.flatten(F.transform(matrix_rows(F.col("marks"), F.col("shape")), _cells))).drop("marks", "shape")
 
@@ -232,12 +272,12 @@ def targets(docs: DataFrame) -> DataFrame:
 
     at and to are offsets in characters. Null and empty texts have no statements;
     rows that repeat a document repeat them; an empty table gives no rows."""
-    return _read(docs.select("doc_id", "text")).select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
+    return _read(docs.select("doc_id", "text"), STATEMENT).select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
 
 
 def target_matrix(docs: DataFrame) -> DataFrame:
     """(doc_id, label, at, to, year, column, tier, code, metric, value): one row for each cell."""
-    return _read(docs.select("doc_id", "text")).select("doc_id", F.explode("cells").alias("x")).select("doc_id", "x.*")
+    return _read(docs.select("doc_id", "text"), ROW).select("doc_id", F.explode("cells").alias("x")).select("doc_id", "x.*")
 
 
 def metric_class(raw: Column) -> Column:

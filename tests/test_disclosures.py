@@ -119,3 +119,11 @@ def test_repeated_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     for f in (dc.targets, dc.target_matrix, dc.target_plan, dc.target_dedupe, dc.with_scope, dc.graded):
         assert f(none).isEmpty()
+
+
+def test_scan_leaves_out_texts_and_ends_without_targets(spark):
+    one, news = "2026年净利润不低于5亿元。", "2027年净利润为5亿元，已确认收入。" * 3
+    docs = frame(spark, news, one + news, "第一个行权期2026年1%2%" + news)
+    kinds = lambda needed: [[m.kind for m in r.marks] for r in dc.marked_targets(docs, needed).orderBy("doc_id").collect()]
+    assert kinds(dc.STATEMENT) == [[], ["y", "m", "c", "a"], []]
+    assert kinds(dc.ROW) == [[], [], ["l", "y", "p", "p", "y", "m"]]
