@@ -95,3 +95,9 @@ def test_suppliers_that_share_a_code_share_its_bars(spark, shared, name):
     want = sorted((tuple(plain(r[i]) for i in at) for r in relation.fetchall()), key=order)
     assert len(got) == len(want)
     assert all(same(a, b) for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_panel_has_one_bar_for_each_code_and_week(spark, shared):
+    from barloom.sources import panel
+
+    assert panel.weekly_bars(spark, shared[1]).groupBy("code", "date").count().where("count > 1").isEmpty()
