@@ -266,18 +266,30 @@ def _read(docs: DataFrame, needed: str = f"{STATEMENT}|{ROW}") -> DataFrame:
     return rows.withColumn("cells", F.flatten(F.transform(matrix_rows(F.col("marks"), F.col("shape")), _cells))).drop("marks", "shape")
 
 
+def _holding(docs: DataFrame, needed: str) -> DataFrame:
+    """(doc_id, text) of the texts that hold a pattern: others say nothing that it opens,
+    and need not travel to the scanner."""
+    return docs.select("doc_id", "text").where(F.col("text").rlike(needed))
+
+
+def _each(rows: DataFrame, column: str) -> DataFrame:
+    """(doc_id, x) of the structs of an array. An inner explode would be given a filter
+    on the array's size, for which the array is read twice more."""
+    return rows.select("doc_id", F.explode_outer(column).alias("x")).where("x is not null")
+
+
 def targets(docs: DataFrame) -> DataFrame:
     """(doc_id, at, to, kind, year, metric_raw, op, value, unit, basis_kind, basis_amount,
     basis_year, tier) of each statement in docs(doc_id, text, ..).
 
     at and to are offsets in characters. Null and empty texts have no statements;
     rows that repeat a document repeat them; an empty table gives no rows."""
-    return _read(docs.select("doc_id", "text"), STATEMENT).select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
+    return _each(_read(_holding(docs, STATEMENT), STATEMENT), "found").select("doc_id", "x.*")
 
 
 def target_matrix(docs: DataFrame) -> DataFrame:
     """(doc_id, label, at, to, year, column, tier, code, metric, value): one row for each cell."""
-    return _read(docs.select("doc_id", "text"), ROW).select("doc_id", F.explode("cells").alias("x")).select("doc_id", "x.*")
+    return _each(_read(_holding(docs, ROW), ROW), "cells").select("doc_id", "x.*")
 
 
 def metric_class(raw: Column) -> Column:
@@ -324,7 +336,7 @@ def target_plan(docs: DataFrame) -> DataFrame:
 
 def target_dedupe(docs: DataFrame) -> DataFrame:
     """(doc_id, the columns of a period, primary metric and its class): each target of a document once."""
-    rows = target_plan(docs.select("doc_id", "text")).select("doc_id", F.col("metric_raw").alias("primary_raw"), F.col("metric").alias("primary"), F.explode("periods").alias("x"))
+    rows = target_plan(docs.select("doc_id", "text")).select("doc_id", F.col("metric_raw").alias("primary_raw"), F.col("metric").alias("primary"), F.explode_outer("periods").alias("x")).where("x is not null")  # as _each
     return rows.select("doc_id", "x.*", "primary_raw", "primary", metric_class(F.col("x.metric_raw")).alias("metric"))
 
 

@@ -127,3 +127,15 @@ def test_scan_leaves_out_texts_and_ends_without_targets(spark):
     kinds = lambda needed: [[m.kind for m in r.marks] for r in dc.marked_targets(docs, needed).orderBy("doc_id").collect()]
     assert kinds(dc.STATEMENT) == [[], ["y", "m", "c", "a"], []]
     assert kinds(dc.ROW) == [[], [], ["l", "y", "p", "p", "y", "m"]]
+
+
+def test_only_texts_with_statements_or_rows_reach_the_scanner(spark, monkeypatch):
+    docs, seen, marked = frame(spark, "2026年净利润为5亿元。", "2026年净利润不低于5亿元。", TABLE, "", None), [], dc._marked
+    monkeypatch.setattr(dc, "_marked", lambda docs, *rest: seen.append([r.text for r in docs.select("text").collect()]) or marked(docs, *rest))
+    assert dc.targets(docs).count() == 1 and dc.target_matrix(docs).count() == 8
+    assert seen == [["2026年净利润不低于5亿元。"], [TABLE]]
+
+
+def test_arrays_are_read_once(spark):
+    plan = dc.target_matrix(frame(spark, TABLE))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(") == 1 and "size(flatten" not in plan
