@@ -2,9 +2,11 @@
 
 import datetime
 import os
+import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.sources import columns, panel
 from barloom.streaming import jobs
@@ -181,3 +183,48 @@ def test_an_idle_code_counts_anew(spark, tmp_path):
         kept = jobs.drain(jobs.streaks(stream), f"{tmp_path}/kept")
     assert {r.event_id: r.streak for r in out.collect()} == {1: 1, 2: 1, 3: 2, 4: 0, 5: 1, 6: 1}
     assert {r.event_id: r.streak for r in kept.collect()} == {1: 1, 2: 1, 3: 2, 4: 0, 5: 2, 6: 1}
+
+
+ITEMS = "l_shipdate timestamp_ntz, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_suppkey long"
+
+
+@pytest.fixture
+def items(spark, tmp_path):
+    """Line items of two weeks and three suppliers, many tied in their first columns: times
+    of day, thirds, negative and very large keys among whole days and hundredths."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(3000):
+        at = datetime.datetime(2026, 1, 5) + datetime.timedelta(days=rng.randrange(14))
+        if rng.random() < 0.2:
+            at += datetime.timedelta(microseconds=rng.randrange(86_400_000_000))
+        order, part = rng.choice((-5, 1, 1, 2, 2**40 - 1, 2**40)), rng.choice((-1, 7, 8, 2**18, 2**32 - 1, 2**32))
+        price = rng.choice((0.01, 901.29, 1342177.27, 1342177.28, 10 / 3, -0.5))
+        rows.append((at, order, rng.choice((0, 1, 63, 64)), part, rng.choice((1.0, 0.01, 2621.43, 2621.44, 1 / 3)), price, rng.randrange(3)))
+    spark.createDataFrame(rows, ITEMS).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path), rows
+
+
+def test_bars_open_and_close_by_the_order_of_all_columns(spark, items):
+    folder, rows = items
+    groups = {}
+    for r in rows:
+        groups.setdefault(((r[0] - datetime.timedelta(days=r[0].weekday())).date(), r[6]), []).append(r[:6])
+    want = {k: (min(g)[5] / min(g)[4], max(x[5] / x[4] for x in g), min(x[5] / x[4] for x in g), max(g)[5] / max(g)[4]) for k, g in groups.items()}
+    got = {(r.date, panel.PREFIXES.index(r.code[:3])): (r.open, r.high, r.low, r.close) for r in panel.weekly_bars(spark, folder).collect()}
+    assert got == want
+
+
+def test_packed_order_keeps_each_row_that_fits(spark, items):
+    rows = panel.table(spark, items[0], "lineitem").withColumn("week", F.date_trunc("week", "l_shipdate").cast("date"))
+    types = {c: rows.schema[c].dataType for c in panel.ORDER}
+    both = rows.withColumn("p", panel.packed_order(F.col("week"), types["l_shipdate"])).withColumn("o", F.struct(*panel.ORDER)).withColumn("back", panel.unpacked_order("p", "week", types)).where("p is not null")
+    got = both.select("week", "p", "o", "back").collect()
+    assert 100 < len(got) < 2000 and all(r.o == r.back for r in got)
+    assert [r.o for r in sorted(got, key=lambda r: (r.week, r.p))] == sorted(r.o for r in got)
+
+
+def test_line_items_are_not_sorted_before_they_are_combined(spark, items):
+    plan = panel.weekly_bars(spark, items[0])._jdf.queryExecution().executedPlan().toString()
+    scan = plan.split("Exchange")[-1]
+    assert "HashAggregate" in scan and "Sort" not in scan
