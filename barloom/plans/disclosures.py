@@ -219,9 +219,9 @@ def scan(spark, sf_dir, as_of: str = AS_OF) -> DataFrame:
     """Both scores of every code of merged(), with what needs a reader's eye as an array
     and where each part came from."""
     c = F.col
-    rows = merged(spark, sf_dir, as_of).withColumn("gap", F.round(c("plan.implied") - c("consensus"), 3))
+    rows = merged(spark, sf_dir, as_of).withColumn("gap", sc.half_up(c("plan.implied") - c("consensus"), 3))
     metric, traps = F.coalesce("plan.metric", F.lit("")), c("note.traps")
-    a = sc.score_a(F.round("revision", 3), F.round("sue", 3), c("gap"))
+    a = sc.score_a(sc.half_up(c("revision"), 3), sc.half_up(c("sue"), 3), c("gap"))
     number = lambda *names: F.coalesce(sum((traps[n] for n in names), F.lit(0)), F.lit(0))
     b = sc.score_b(F.coalesce("note.level", F.lit(0)), metric, F.array(metric), c("tightness"), number("framework", "intent"), number("not binding"), F.coalesce("plan.scheme", F.lit("company")), F.coalesce("plan.connector", F.lit("and")))
     manual = F.array_compact(F.array(F.when(c("plan").isNull(), "no target extracted"), F.when(c("note").isNull(), "no milestone evidence"), F.when(c("plan.requires_manual"), F.concat(F.lit("no profit gap from "), metric))))

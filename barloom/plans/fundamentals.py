@@ -97,7 +97,7 @@ def score_parts(spark, sf_dir) -> DataFrame:
     """(code, rev, sue, gap): all suppliers with what is known of each."""
     base = T(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"))
     rows = base.join(sue(financials(spark, sf_dir)), "code", "left").join(consensus_growth(consensus(spark, sf_dir), 2000), "code", "left")
-    return rows.select("code", F.when(F.col("code") % 3 != 0, F.round(F.col("sue") / 10, 3)).alias("rev"), F.round("sue", 3).alias("sue"), F.round(0.1 - F.col("growth"), 3).alias("gap"))
+    return rows.select("code", F.when(F.col("code") % 3 != 0, sc.half_up(F.col("sue") / 10, 3)).alias("rev"), sc.half_up(F.col("sue"), 3).alias("sue"), sc.half_up(0.1 - F.col("growth"), 3).alias("gap"))
 
 
 add("score_a", lambda s, d: score_parts(s, d).select("code", sc.score_a(F.col("rev"), F.col("sue"), F.col("gap")).alias("x")).select("code", "x.*"), f"select code, {A_SQL}", PARTS)
