@@ -101,3 +101,27 @@ def test_panel_has_one_bar_for_each_code_and_week(spark, shared):
     from barloom.sources import panel
 
     assert panel.weekly_bars(spark, shared[1]).groupBy("code", "date").count().where("count > 1").isEmpty()
+
+
+#: What the SQL leaves open where instruments share a code, closed as the operators close it.
+CLOSED = {
+    "four_dim_score": (("amount desc nulls last, code)", "amount desc nulls last, code, name, industry)"), ("(partition by date_idx order by code)", "(partition by date_idx order by code, name, industry)")),
+    "core_roles": (("amount desc nulls last, code)", "amount desc nulls last, code, name, industry)"), ("(partition by date_idx order by code)", "(partition by date_idx order by code, name, industry)")),
+}
+
+
+@pytest.mark.parametrize("name", CLOSED)
+def test_instruments_that_share_a_code_keep_their_own_rows(spark, shared, name):
+    connection, folder = shared
+    text = catalog.ORACLE_SQL[name]
+    for open_order, order_by in CLOSED[name]:
+        assert open_order in text
+        text = text.replace(open_order, order_by)
+    df = catalog.QUERIES[name](spark, folder)
+    names = sorted(df.columns)
+    relation = connection.sql(text)
+    at = [relation.columns.index(c) for c in names]
+    got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=order)
+    want = sorted((tuple(plain(r[i]) for i in at) for r in relation.fetchall()), key=order)
+    assert len(got) == len(want)
+    assert all(same(a, b) for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True))
