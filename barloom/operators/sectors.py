@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .portfolio import block_of, next_return
-from .windows import average_rank, by_code, full, trailing
+from .windows import average_rank, by_code, full
 
 
 def by_sector(n: int):
@@ -41,9 +41,11 @@ def emotion(panel: DataFrame, n: int = 10) -> DataFrame:
 
 def pulse_score(panel: DataFrame, sectors: DataFrame) -> DataFrame:
     """score: .4 heat + .4 momentum - .1 volatility - .1 turnover in ranks, null where the
-    name is overheated or its emotion falls fast."""
+    name is overheated or its emotion falls fast. Of a code with several instruments the
+    last ten rows are those by date, then sector."""
     p = emotion(panel).join(sectors.select("code", "sector"), "code")
-    hot = p.withColumn("_h", F.sum(F.col("is_limit").cast("int") + F.col("is_big").cast("int")).over(trailing(10))).withColumn("_n", F.count("*").over(trailing(10)))
+    last = Window.partitionBy("code").orderBy("date_idx", "sector").rowsBetween(-9, 0)
+    hot = p.withColumn("_h", F.sum(F.col("is_limit").cast("int") + F.col("is_big").cast("int")).over(last)).withColumn("_n", F.count("*").over(last))
     heat = F.avg(F.when(F.col("_n") >= 10, F.col("_h"))).over(Window.partitionBy("sector", "date_idx"))
     hot = hot.withColumn("stock_heat", heat)
     r = lambda e: average_rank(e, ["date_idx"])

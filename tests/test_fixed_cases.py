@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import scalar as sc
-from barloom.operators import evaluate as ev, patterns as pt, portfolio as pf, regime as rg, review as rv, text as tx, windows as w
+from barloom.operators import evaluate as ev, patterns as pt, portfolio as pf, regime as rg, review as rv, sectors as sec, text as tx, windows as w
 from barloom.plans import patterns as plans
 from barloom.sources import panel
 
@@ -213,6 +213,14 @@ def test_daily_top_takes_scores_equal_to_twelve_digits_as_ties(spark, monkeypatc
     assert [r.code for r in plans.QUERIES["topk_daily"](spark, "").orderBy("rank").collect()] == ["600003", "600001", "600002"]
 
 
+def test_pulse_score_of_shared_codes_does_not_follow_the_order_of_rows(spark):
+    f = w.features(panel.densify(small_panel(spark, codes=8, days=60, holes=False)))
+    pools = [(code, sector) for i, code in enumerate(sorted(r.code for r in f.select("code").distinct().collect())) for sector in (f"s{i % 3}", f"s{(i + 1) % 3}")]
+    one, two = (sec.pulse_score(f, spark.createDataFrame(x, "code string, sector string").coalesce(1)).select("code", "date_idx", "sector", "stock_heat", "score") for x in (pools, pools[::-1]))
+    rows = sorted(one.collect(), key=str)
+    assert len(rows) == 960 and sum(r.score is not None for r in rows) > 100 and rows == sorted(two.collect(), key=str)
+
+
 def test_traps_and_news(spark):
     got = value(spark, tx.traps(F.lit("框架协议不具有法律效力，没有强制约束力")))
     assert (got["framework"], got["not binding"], got["firm"]) == (1, 2, 0)

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from barloom.plans import catalog
+from barloom.plans import catalog, sql
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -104,7 +104,9 @@ def test_panel_has_one_bar_for_each_code_and_week(spark, shared):
 
 
 #: What the SQL leaves open where instruments share a code, closed as the operators close it.
+HEAT = f"case when count(*) over {sql.t(10)} >= 10 then sum(is_limit::int + is_big::int) over {sql.t(10)} end as hh"
 CLOSED = {
+    "sig_sectorpulse": ((HEAT, HEAT.replace("order by date_idx", "order by date_idx, sector")),),
     "four_dim_score": (("amount desc nulls last, code)", "amount desc nulls last, code, name, industry)"), ("(partition by date_idx order by code)", "(partition by date_idx order by code, name, industry)")),
     "core_roles": (("amount desc nulls last, code)", "amount desc nulls last, code, name, industry)"), ("(partition by date_idx order by code)", "(partition by date_idx order by code, name, industry)")),
 }
